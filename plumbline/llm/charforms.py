@@ -37,6 +37,8 @@ CYRILLIC = dict(zip("аеорсухѕіјԁһԛԝАВЕКМНОРСТУХЅІЈ"
 GREEK = dict(zip("αγικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ayikvoptuxABEZHIKMNOPTYX"))
 ARMENIAN = dict(zip("հսօոցզլ", "huongql"))
 SIGNS = {"‐": "-", "‑": "-", "−": "-", "﹣": "-", "－": "-", "∕": "/", "∶": ":"}
+# Single characters that stand for several letters, as far as the SQL skeleton splits them.
+LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "℃": "°c", "Ⅱ": "ii", "Ⅲ": "iii", "㎐": "hz", "㎸": "kv", "㎾": "kw", "㎫": "mpa", "㎜": "mm", "ß": "ss"}
 LOOKALIKE = {**CYRILLIC, **GREEK, **ARMENIAN}
 #: The Latin letters that stand for Cyrillic ones inside a Cyrillic word.
 TO_CYRILLIC = {v: k for k, v in CYRILLIC.items() if "А" <= k <= "я"}
@@ -164,7 +166,7 @@ def folded(column: Column) -> Column:
     characters removed. No composition: accents are folded away."""
     source, target = _fold_table()
     bare = F.regexp_replace(column, "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in IGNORABLE_RANGES) + "\\p{Mn}]", "")
-    for ligature, letters in {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff"}.items():
+    for ligature, letters in LIGATURES.items():
         bare = F.replace(bare, F.lit(ligature), F.lit(letters))
     return F.lower(F.translate(F.lower(bare), source, target))
 

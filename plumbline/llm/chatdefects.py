@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.charforms import folded, unify
+from plumbline.llm.charforms import unify
 from plumbline.llm.truncation import fit_closing
 from plumbline.session import table
 
@@ -185,8 +185,10 @@ def message_pairs(records: DataFrame) -> DataFrame:
 
 
 def is_placeholder(answer: Column) -> Column:
-    bare = F.regexp_replace(F.trim(folded(answer)), r"^[\s\p{P}\p{S}\p{Cf}\p{Z}]+|[\s\p{P}\p{S}\p{Cf}\p{Z}]+$", "")
-    return answer.isNull() | bare.isin(*PLACEHOLDERS)
+    """Whether an answer is missing, blank or a placeholder; an empty JSON list or object is an answer."""
+    around = r"[\s\p{P}\p{S}\p{Cf}\p{Z}]+"
+    bare = F.lower(F.regexp_replace(F.regexp_replace(answer, "^" + around, ""), around + "$", ""))
+    return answer.isNull() | bare.isin(*PLACEHOLDERS) & ~answer.rlike(r"^\s*(?:\[\s*\]|\{\s*\})\s*$")
 
 
 def open_json(answer: Column) -> Column:
@@ -201,8 +203,8 @@ def defective_pairs(records: DataFrame) -> DataFrame:
     """(record_id, user_pos, defect) of every defective pair."""
     pairs = message_pairs(records)
     answer = F.col("answer")
-    json = F.coalesce(answer.rlike(r"^\s*(?:```\w*\s*)?[{]|^\s*```|^\s*\[\s*[{\]]"), F.lit(False))
-    kinds = pairs.withColumn("json", json).withColumn("empty", is_placeholder(answer) & ~answer.rlike(r"^\s*(?:\[\s*\]|\{\s*\})\s*$") | answer.isNull())
+    json = F.coalesce(answer.rlike(r"^[\s\p{Z}\p{Cf}]*(?:```\w*\s*)?(?:[{]|```|\[[\s\p{Z}]*[{\]])"), F.lit(False))
+    kinds = pairs.withColumn("json", json).withColumn("empty", is_placeholder(answer))
     model = fit_closing(kinds.where("not json and not empty").select("answer"), "answer")
     looked = kinds.withColumn("prose", F.when(~F.col("json") & ~F.col("empty"), answer))
     looked = looked.withColumn("spoken", spoken_defects("user", "prose"))

@@ -10,6 +10,8 @@ text to learn from nothing is flagged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -37,45 +39,69 @@ def _shape(token: Column) -> Column:
     return F.when(token.rlike(_DIGIT), F.regexp_replace(F.regexp_replace(shape, r"^0+(?=\D|$)", "0"), r"^0\.0+", "0.0")).otherwise(token)
 
 
-def _parts(frame: DataFrame, text: str) -> DataFrame:
-    """``frame`` with the columns that the features are built from, all named with a leading underscore."""
-    end = frame.withColumn("_t", F.regexp_replace(folded(F.col(text)), r"\s+$", ""))
-    end = end.withColumn("_mark", F.regexp_extract("_t", MARK, 1))
-    end = end.withColumn("_body", F.regexp_replace("_t", MARK, ""))
-    parts = F.filter(F.split("_body", r"(?<=[.!?])\s+|(?<=。)|\n|……|(?<=…)\s*"), lambda x: F.trim(x) != "")
-    end = end.withColumn("_segments", parts)
-    seg = F.regexp_replace(F.coalesce(F.try_element_at("_segments", F.lit(-1)), F.lit("")), r"^\s*(?:[-*•]\s+)?", "")
-    end = end.withColumn("_words", F.regexp_extract_all(seg, F.lit(r"(\p{IsHan}|[^\s\p{IsHan}]+)"), F.lit(1)))
-    last = F.right("_body", F.lit(1))
-    kind = F.when(last.isin(".", "。", "!", "?"), "stop")
-    for name, pattern in (("comma", "[,;:、]"), ("open", r"[(\[{“‘«<]"), ("close", r"[)\]}”’»>\"']"), ("digit", _DIGIT), ("lost", "�"), ("han", r"\p{IsHan}"), ("letter", r"\p{L}")):
-        kind = kind.when(last.rlike(pattern), name)
-    return end.withColumn("_end", F.when(F.col("_mark") != "", "mark").otherwise(kind.otherwise("sign")))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
-def closing_features(frame: DataFrame, text: str, limits: list[int], name: str = "features") -> DataFrame:
-    """``frame`` with the array<string> column ``name`` and the helper column _end."""
-    own = frame.columns
-    parts = _parts(frame, text)
-    n = F.size("_words")
-    at = lambda i: F.coalesce(F.when(n >= i, _shape(F.try_element_at("_words", F.lit(-i)))), F.lit("^"))
-    first = F.coalesce(F.try_element_at("_words", F.lit(1)), F.lit(""))
-    opening = F.when(first.rlike(r"^\p{IsHan}"), F.concat(first, F.coalesce(F.try_element_at("_words", F.lit(2)), F.lit("")))).otherwise(_shape(first))
-    whole = F.when(F.size("_segments") <= 1, "w").otherwise("p")
+#: A text in which a sentence ends before the last one.
+_SEVERAL = r"(?s)[.!?。！？…\n]\s+\S|[。！？…\n]\s*[^\s…]"
+#: Closing characters that the features look at (the end is folded, not the whole text).
+CLOSING = 160
+
+
+def _closing(text: Column) -> Column:
+    """The struct (mark, body, words, end, whole, item) of a text: its mark of omission, the closing characters before it, the
+    words of its last sentence, the class of its last character, and whether that sentence is the whole text or the last
+    line an item of a list."""
+
+    def parts(tail: Column) -> Column:
+        return _let(F.regexp_extract(tail, MARK, 1), lambda mark: _let(F.left(tail, F.length(tail) - F.length(mark)), lambda body: struct(mark, body)))
+
+    def struct(mark: Column, body: Column) -> Column:
+        last = F.right(body, F.lit(1))
+        kind = F.when(last.isin(".", "。", "!", "?"), "stop")
+        for name, pattern in (("comma", "[,;:、]"), ("open", r"[(\[{“‘«<]"), ("close", r"[)\]}”’»>\"']"), ("digit", _DIGIT), ("lost", "�"), ("han", r"\p{IsHan}"), ("letter", r"\p{L}")):
+            kind = kind.when(last.rlike(pattern), name)
+        segment = F.element_at(F.filter(F.concat(F.array(F.lit("")), F.split(body, r"(?<=[.!?])\s+|(?<=。)|\n|……|(?<=…)\s*")), lambda x: (F.trim(x) != "") | (x == "")), -1)
+        segment = F.regexp_replace(segment, r"^\s*(?:[-*•]\s+)?", "")
+        words = F.regexp_extract_all(segment, F.lit(r"(\p{IsHan}|[^\s\p{IsHan}]+)"), F.lit(1))
+        return F.struct(mark.alias("mark"), body.alias("body"), words.alias("words"), F.when(mark != "", "mark").otherwise(kind.otherwise("sign")).alias("end"), (~text.rlike(_SEVERAL)).alias("whole"), text.rlike(r"(?:^|\n)\s*[-*•]\s[^\n]*$").alias("item"))
+
+    trimmed = F.regexp_replace(text, r"[\s\x{a0}]+$", "")
+    return _let(F.regexp_replace(folded(F.right(trimmed, F.lit(CLOSING))), r"\s+$", ""), parts)
+
+
+def _features(c: Column, length: Column, limits: list[int]) -> Column:
+    words, end, mark = c["words"], c["end"], c["mark"]
+    n = F.size(words)
+    at = lambda i: F.coalesce(F.when(n >= i, _shape(F.try_element_at(words, F.lit(-i)))), F.lit("^"))
+    first = F.coalesce(F.try_element_at(words, F.lit(1)), F.lit(""))
+    opening = F.when(first.rlike(r"^\p{IsHan}"), F.concat(first, F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")))).otherwise(_shape(first))
+    second = F.coalesce(F.when(n > 2, _shape(F.try_element_at(words, F.lit(2)))), F.lit("^"))
+    item = F.when(c["item"], "item").otherwise("flow")
+    whole = F.when(c["whole"], "w").otherwise("p")
     size = F.when(n > 12, 13).when(n > 8, 9).otherwise(n).cast("string")
-    length = F.length(text)
     near = F.when(length.isin(*limits), "at").otherwise("off") if limits else F.lit("off")
-    end = F.col("_end")
-    tail = F.regexp_replace(F.right("_body", F.lit(6)), _DIGIT, "0")
-    made = {
-        "c": [end], "m": [F.col("_mark")], "1": [at(1)], "2": [at(2), at(1)], "3": [at(3), at(2), at(1)], "4": [at(4), at(3), at(2), at(1)],
-        "e2": [F.right(tail, F.lit(2))], "e3": [F.right(tail, F.lit(3))], "e5": [F.right(tail, F.lit(5))],
-        "o": [opening, end], "oo": [opening, whole, at(1)], "w": [whole, end, size], "ow": [opening, whole, end, size],
-        "d": [whole, end, F.when(at(2).rlike("0"), "n").otherwise("t"), F.when(at(1).rlike("0"), at(1)).otherwise("t")],
-        "l": [near, end],
-    }
-    features = F.array(*[F.concat_ws("\x1f", F.lit(k), *v) for k, v in made.items()])
-    return parts.withColumn(name, features).select(*own, name, "_end")
+    tail = F.regexp_replace(F.right(c["body"], F.lit(6)), _DIGIT, "0")
+
+    def named(v: Column) -> Column:
+        made = {
+            "c": [end], "m": [mark], "1": [v["a"]], "2": [v["b"], v["a"]], "3": [v["c"], v["b"], v["a"]], "4": [v["d"], v["c"], v["b"], v["a"]],
+            "e2": [F.right(v["tail"], F.lit(2))], "e3": [F.right(v["tail"], F.lit(3))], "e5": [F.right(v["tail"], F.lit(5))],
+            "o": [v["o"], end], "oo": [v["o"], v["w"], v["a"]], "w": [v["w"], end, v["n"]], "ow": [v["o"], v["w"], end, v["n"]],
+            "d": [v["w"], end, F.when(v["b"].rlike("0"), "n").otherwise("t"), F.when(v["a"].rlike("0"), v["a"]).otherwise("t")],
+            "l": [near, end], "ob": [v["o"], v["p"], end], "k": [v["w"], v["q"], end],
+        }
+        return F.array(*[F.concat_ws("\x1f", F.lit(k), *x) for k, x in made.items()])
+
+    return _let(F.struct(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"), at(4).alias("d"), opening.alias("o"), whole.alias("w"), size.alias("n"), tail.alias("tail"), second.alias("p"), item.alias("q")), named)
+
+
+def closing_features(frame: DataFrame, text: str, limits: list[int], name: str = "features") -> DataFrame:
+    """``frame`` with the array<string> column ``name``."""
+    column = F.col(text)
+    return frame.withColumn(name, _let(_closing(column), lambda c: _features(c, F.length(column), limits)))
 
 
 def field_limits(frame: DataFrame, text: str) -> list[int]:
@@ -127,19 +153,24 @@ def fit_closing(frame: DataFrame, text: str, train_rows: int = TRAIN_ROWS) -> Cl
     rows = frame.select(F.col(text).alias("text")).where("text is not null")
     share = min(1.0, train_rows / max(1, rows.count()))
     sample = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    looked = _parts(sample, "text")
-    whole = (F.size("_segments") == 1) & (F.size("_words") <= 12) & F.col("_body").rlike(_DIGIT) & ~F.col("_end").isin("lost", "comma", "open", "mark", "stop") & (F.length("text") <= 64)
-    listed = F.col("text").contains("\n") & (F.size("_words") <= 10) & F.element_at(F.split("text", "\n"), -1).rlike(r"^\s*-\s") & ~F.col("_end").isin("lost", "comma", "open", "mark", "stop") & F.try_element_at("_segments", F.lit(-1)).rlike(_DIGIT)
-    stopped = (F.col("_end") == "stop") & ~F.col("_body").rlike(r"\s\d+\.$")
-    numbered = (F.col("_end") == "stop") & F.col("_body").rlike(r"\s\d+\.$")
-    intact = cut(looked.where("_body <> ''").where(stopped | numbered | whole | listed).select("text", stopped.alias("stopped"), numbered.alias("numbered")))
-    positives = _cut_values(intact.where("not numbered").select("text"), limits)
+    text = F.col("text")
+
+    def judged(c: Column) -> Column:
+        """Whether a text counts as intact: ``stopped``, ``numbered`` (a stop behind a number), ``label``, or null."""
+        unfinished = c["end"].isin("lost", "comma", "open", "mark", "stop")
+        label = c["whole"] & (F.size(c["words"]) <= 12) & c["body"].rlike(_DIGIT) & ~unfinished & (F.length(text) <= 64)
+        listed = ~c["whole"] & (F.size(c["words"]) <= 10) & c["item"] & ~unfinished & c["body"].rlike(_DIGIT)
+        stopped = c["end"] == "stop"
+        return F.when(c["body"] == "", None).when(stopped & c["body"].rlike(r"\s\d+\.$"), "numbered").when(stopped, "stopped").when(label | listed, "label")
+
+    intact = cut(sample.select("text", _let(_closing(text), judged).alias("kind"))).where("kind is not null")
+    positives = _cut_values(intact.where("kind <> 'numbered'").select("text"), limits)
     examples = intact.select("text", F.lit(0.0).alias("label")).unionByName(positives)
-    featured = closing_features(examples, "text", limits).select("label", "features")
+    featured = cut(closing_features(examples, "text", limits).select("label", "features"))
     if featured.agg(F.countDistinct("label")).first()[0] < 2:
         return ClosingModel(None, limits)
     hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="features", outputCol="vector").transform(featured)
-    model = LogisticRegression(featuresCol="vector", labelCol="label", regParam=0.00003, elasticNetParam=0.0, maxIter=60, standardization=False).fit(cut(hashed.select("label", "vector")))
+    model = LogisticRegression(featuresCol="vector", labelCol="label", regParam=0.00001, elasticNetParam=0.0, maxIter=60, standardization=False).fit(hashed.select("label", "vector"))
     return ClosingModel(model, limits)
 
 
