@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from plumbline.llm import canonical_values, charforms, grouped_split, mixing, tokenise
+    from plumbline.llm import canonical_values, charforms, chatdefects, grouped_split, mixing, mojibake, overlap, tokenise, truncation
 
     functions = (
         charforms.p1_found, charforms.p1_names,
+        truncation.p2_found, truncation.p2_rates,
+        chatdefects.p3_found, chatdefects.p3_sources,
+        overlap.p4_found, overlap.p4_counts,
         grouped_split.p5_found, grouped_split.p5_splits, grouped_split.p5_shares,
         canonical_values.p6_found, canonical_values.p6_unmatched,
         tokenise.p7_ids, tokenise.p7_round_trip,
         mixing.p8_mixture, mixing.p8_shares,
+        mojibake.p9_found, mojibake.p9_originals,
     )
     return {f.__name__: f for f in functions}
 

@@ -163,25 +163,29 @@ def odd_values(frame: DataFrame, key: str, fields: list[str], name: str) -> Data
 
 def folded(column: Column) -> Column:
     """A SQL-only skeleton for comparisons: lower case, one-to-one compatibility forms and lookalikes folded, ignorable
-    characters removed. No composition: accents are folded away."""
+    characters and accents removed. Letters that look alike in one case fold together in both."""
     source, target = _fold_table()
-    bare = F.regexp_replace(column, "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in IGNORABLE_RANGES) + "\\p{Mn}]", "")
     for ligature, letters in LIGATURES.items():
-        bare = F.replace(bare, F.lit(ligature), F.lit(letters))
-    return F.lower(F.translate(F.lower(bare), source, target))
+        column = F.replace(column, F.lit(ligature), F.lit(letters))
+    return F.lower(F.translate(column, source, target))
 
 
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
-    pairs = {c: f for c, f in compatibility().items() if len(f) == 1 and len(c.encode("utf-16-le")) == 2 and len(f.encode("utf-16-le")) == 2}
+    """The two strings for translate; what the first has beyond the second is removed."""
+    wide = lambda c: len(c.encode("utf-16-le")) > 2
+    pairs = {c: f for c, f in compatibility().items() if len(f) == 1 and not wide(c) and not wide(f)}
     for code in range(0xC0, 0x250):  # accented Latin letters to their base
         base = unicodedata.normalize("NFD", chr(code))[0]
         if base.isascii() and base.isalpha():
             pairs[chr(code)] = base
     pairs |= {c: " " for c in BLANKS}
     pairs |= SIGNS | LOOKALIKE
+    pairs |= {c.lower(): latin.lower() for c, latin in LOOKALIKE.items() if c.isupper() and c.lower() not in LOOKALIKE}
     pairs |= {c: unicodedata.normalize("NFKC", c) for c in "！（），：；？～￥"}
-    return "".join(pairs), "".join(pairs.values())
+    removed = [chr(c) for a, b in (*IGNORABLE_RANGES, (0x300, 0x36F)) if b < 0x10000 for c in range(a, b + 1)]
+    pairs = {c: f for c, f in pairs.items() if c not in removed}
+    return "".join([*pairs, *removed]), "".join(pairs.values())
 
 
 def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,12 @@
 Records are canonicalised (user and assistant words only, character forms, letter case, blanks and punctuation left
 out; Chinese counts by characters) and hashed. Evaluation hashes are joined with training hashes; records with equal
 hashes form one class, so copies cost nothing further. Between classes with different hashes an exact prefix filter
-finds every pair of texts that differ in at most a tenth of their words: of n words at most d can differ, so two such
-texts share one of their d+1 rarest words. Rarity comes from a fixed number of hashed counters over the whole table;
-any order is right, a good one makes the candidate lists short. Candidates are verified by word-wise edit distance.
+finds every pair of texts that differ in at most a tenth of their words: of n words at most d can differ, each touches
+three triples of neighbouring words, so two such texts share one of their 3d+1 rarest triples. Rarity comes from a
+fixed number of hashed counters over the whole table; any order is right, a good one makes the candidate lists short.
+Training triples are joined only where a fixed-size bitmap says that an evaluation text may hold them, and a joined pair
+must pass two exact bounds inside the join (length, and the parities of hashed word counts, of which a changed word
+flips two) before it leaves it. What is left is verified by word-wise edit distance.
 
 Defined results: records without any word (null or empty messages, null contents) and records outside train,
 validation and test have no partner; a record is never paired within its own split side; repeated rows are pairs like
@@ -14,6 +17,9 @@ any other; record_a < record_b.
 
 from __future__ import annotations
 
+import hashlib
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,16 +29,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.charforms import folded
+from plumbline.llm.charforms import unify
 from plumbline.session import cut, table
 
-#: Hashed word counters (a power of two): the whole memory that the rarity order takes.
-COUNTERS = 1 << 16
+#: Words of a shingle; a changed word touches as many of them.
+SHINGLE = 3
+#: Hashed counters of shingles (a power of two): the whole memory that the rarity order takes.
+COUNTERS = 1 << 20
+#: Bits of the bitmap of evaluation shingles (a power of two).
+BITMAP = 1 << 23
+#: Bits of the parity sketch, in longs.
+SKETCH = 3
 #: At most this part of the words of the longer text may differ.
 TOLERANCE = 0.1
-#: Spellings of the roles that count.
+# Spellings of the roles that count.
 COUNTED_ROLES = ("user", "human", "assistant", "model", "bot", "gpt", "prompter", "question", "answer")
-WORD = r"(\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+)"
+WORDS = re.compile(r"[\u3400-\u9fff]|[^\W_\u3400-\u9fff]+")
+#: Distinct words whose hashes a worker keeps; bounds memory, changes no result.
+KEPT = 300_000
 
 
 def counted_text(messages: Column) -> Column:
@@ -41,39 +55,104 @@ def counted_text(messages: Column) -> Column:
     return F.array_join(F.transform(kept, lambda m: m["content"]), "\n")
 
 
+def sketch(words: np.ndarray) -> np.ndarray:
+    """SKETCH longs: the parity of the number of words in each of their bits."""
+    bits = np.bincount((words.astype(np.int64) * 0x9E3779B1 >> 16 & 0xFFFFFF) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+HASHES = T.StructType(
+    [T.StructField("class", T.BinaryType()), T.StructField("words", T.ArrayType(T.IntegerType())), *(T.StructField(f"s{i}", T.LongType()) for i in range(SKETCH))]
+)
+
+
+@F.pandas_udf(HASHES)
+def text_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    known: dict[str, int] = {}
+    for texts in batches:
+        classes, words, sketches = [], [], []
+        for text in texts:
+            found = WORDS.findall(unify(text)[0]) if text else []
+            if len(known) > KEPT:
+                known = {}
+            own = []
+            for w in found:
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = zlib.crc32(w.encode("utf-8", "replace")) - (1 << 31)
+                own.append(h)
+            array = np.array(own, dtype=np.int32)
+            classes.append(hashlib.md5(" ".join(found).encode("utf-8", "replace")).digest())
+            words.append(array)
+            sketches.append(sketch(array))
+        columns = np.array(sketches, dtype=np.int64).reshape(-1, SKETCH)
+        yield pd.DataFrame({"class": classes, "words": words, **{f"s{i}": columns[:, i] for i in range(SKETCH)}})
+
+
 def hashed_records(records: DataFrame) -> DataFrame:
-    """(record_id, split, source_name, train, class, words): the class is the hash of all words, words their hashes."""
+    """(record_id, split, source_name, train, class, words, s0..): the class is the hash of all words."""
     split = F.lower(F.trim(F.col("metadata.split")))
-    rows = records.select(F.col("record_id").cast("bigint").alias("record_id"), split.alias("split"), F.col("metadata.source_name").alias("source_name"), F.regexp_extract_all(folded(counted_text(F.col("messages"))), F.lit(WORD), F.lit(1)).alias("w"))
-    rows = rows.where(F.col("split").isin("train", "validation", "test") & (F.size("w") > 0))
-    return rows.select("record_id", "split", "source_name", (F.col("split") == "train").alias("train"), F.unhex(F.md5(F.array_join("w", " "))).alias("class"), F.transform("w", lambda x: F.hash(x)).alias("words"))
+    rows = records.where(split.isin("train", "validation", "test")).select(F.col("record_id").cast("bigint").alias("record_id"), split.alias("split"), F.col("metadata.source_name").alias("source_name"), text_hashes(counted_text(F.col("messages"))).alias("h"))
+    rows = cut(rows).where("size(h.words) > 0")
+    return rows.select("record_id", "split", "source_name", (F.col("split") == "train").alias("train"), "h.*")
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """The distinct hashes of the runs of SHINGLE words."""
+    w = np.asarray(words, dtype=np.int64)
+    mixed = np.zeros(max(0, len(w) - SHINGLE + 1), dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for i in range(SHINGLE):
+            mixed = (mixed + w[i : i + len(mixed)]) * 0x1E3779B97F4A7C15
+            mixed ^= mixed >> 29
+    return np.unique(mixed)
+
 
+def most_edits(length: int) -> int:
+    """The most words in which a text of ``length`` words can differ from one that is at most a tenth longer."""
+    return int(length * TOLERANCE / (1 - TOLERANCE) + 1e-9)
 
-def word_counters(hashed: DataFrame) -> np.ndarray:
-    """How many records hold a word of each counter; the result has COUNTERS numbers, whatever the input."""
-    held = hashed.select(F.explode(F.array_distinct(F.transform("words", lambda w: w.bitwiseAND(COUNTERS - 1)))).alias("c")).groupBy("c").count()
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    for c, n in held.toLocalIterator():
-        counts[c] = n
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def counter_ids(words: pd.Series) -> pd.Series:
+    return pd.Series([np.unique(shingles(w) & (COUNTERS - 1)).astype(np.int32) for w in words], index=words.index)
+
+
+def shingle_counters(hashed: DataFrame) -> np.ndarray:
+    """How many records hold a shingle of each counter; the result has COUNTERS numbers, whatever the input."""
+    held = hashed.select(F.explode(counter_ids("words")).alias("c")).groupBy("c").agg(F.count("*").cast("int").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, dtype=np.int32)
+    counts[held["c"].to_numpy()] = held["n"].to_numpy()
     return counts
 
 
-def rare_words(spark: SparkSession, words: Column, counts: np.ndarray) -> Column:
-    """The d+1 rarest distinct words of each text, d the most that may differ; none where nothing may differ."""
-    shared = spark.sparkContext.broadcast(counts)
+def shingle_bitmap(prefixes: DataFrame) -> np.ndarray:
+    """BITMAP bits, packed: those of the hashed shingles of ``prefixes``; the same size for any input."""
+    held = prefixes.select((F.col("shingle").bitwiseAND(BITMAP - 1)).cast("int").alias("b")).distinct().toPandas()
+    bits = np.zeros(BITMAP, dtype=np.uint8)
+    bits[held["b"].to_numpy()] = 1
+    return np.packbits(bits)
+
+
+def rare_shingles(spark: SparkSession, words: Column, counts: np.ndarray, bitmap: np.ndarray | None = None) -> Column:
+    """The rarest shingles of each text, as many as at most_edits() changed words can touch and one more; of these, given
+    a bitmap, those that it holds. None where nothing may differ. Texts shorter than that have all their shingles."""
+    shared = spark.sparkContext.broadcast((counts, bitmap))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def rarest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counts = shared.value
+        counts, bitmap = shared.value
         for lists in batches:
             out = []
             for w in lists:
-                d = int(len(w) * TOLERANCE / (1 - TOLERANCE) + 1e-9)
-                if not d:
-                    out.append(np.empty(0, np.int32))
-                    continue
-                own = np.unique(np.asarray(w, dtype=np.int32))
-                out.append(own[np.lexsort((own, counts[own & (COUNTERS - 1)]))[: d + 1]])
+                d = most_edits(len(w))
+                own = shingles(w) if d else np.empty(0, np.int64)
+                if len(own):
+                    own = own[np.lexsort((own, counts[own & (COUNTERS - 1)]))[: SHINGLE * d + 1]]
+                    if bitmap is not None:
+                        b = own & (BITMAP - 1)
+                        own = own[bitmap[b >> 3] >> (7 - (b & 7)).astype(np.uint8) & 1 == 1]
+                out.append(own)
             yield pd.Series(out, index=lists.index)
 
     return rarest(words)
@@ -120,21 +199,26 @@ def near_same(left: pd.Series, right: pd.Series) -> pd.Series:
 
 def near_classes(spark: SparkSession, hashed: DataFrame) -> DataFrame:
     """(train_class, other_class): classes of different hash that are near-same, one of each side."""
-    held = F.expr("int(ln(size(words)) / -ln(1 - %s))" % TOLERANCE)
-    keyed = hashed.select("class", "train", held.alias("length"), F.explode(rare_words(spark, F.col("words"), word_counters(hashed))).alias("word")).distinct()
-    ours = keyed.where("train").select(F.col("class").alias("train_class"), "word", "length")
-    # lengths within a tenth lie in the same or a neighbouring step of the length scale
-    theirs = keyed.where("not train").select(F.col("class").alias("other_class"), "word", F.explode(F.array(F.col("length") - 1, F.col("length"), F.col("length") + 1)).alias("length"))
-    pairs = ours.join(theirs, ["word", "length"]).where("train_class <> other_class").select("train_class", "other_class").distinct()
-    texts = hashed.groupBy("class").agg(F.any_value("words").alias("words"))
-    pairs = pairs.join(texts.select(F.col("class").alias("train_class"), F.col("words").alias("a")), "train_class")
-    pairs = pairs.join(texts.select(F.col("class").alias("other_class"), F.col("words").alias("b")), "other_class")
-    return pairs.where(near_same("a", "b")).select("train_class", "other_class")
+    counts = shingle_counters(hashed)
+    side = lambda rows, words: rows.select(F.xxhash64("class").alias("id"), F.size("words").alias("n"), *(f"s{i}" for i in range(SKETCH)), F.explode(words).alias("shingle"))
+    texts = hashed.groupBy("class", "train").agg(F.any_value(F.struct("words", *(f"s{i}" for i in range(SKETCH)))).alias("h")).select("class", "train", "h.*")
+    theirs = cut(side(texts.where("not train"), rare_shingles(spark, F.col("words"), counts)))
+    ours = side(texts.where("train"), rare_shingles(spark, F.col("words"), counts, shingle_bitmap(theirs)))
+    ours = ours.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ours.columns if c != "shingle"))
+    longer = F.greatest("n", "a_n")
+    most = F.floor(longer * TOLERANCE + 1e-9)
+    flipped = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"a_s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("a_s0"))))
+    bounds = (longer - F.least("n", "a_n") <= most) & (flipped <= 2 * most)
+    pairs = ours.join(theirs, "shingle").where(bounds & (F.col("id") != F.col("a_id"))).select("a_id", "id").distinct()
+    held = texts.select(F.xxhash64("class").alias("id"), "class", "train", "words")
+    a = held.where("train").select(F.col("id").alias("a_id"), F.col("class").alias("train_class"), F.col("words").alias("a"))
+    b = held.where("not train").select("id", F.col("class").alias("other_class"), F.col("words").alias("b"))
+    return pairs.join(a, "a_id").join(b, "id").where(near_same("a", "b")).select("train_class", "other_class")
 
 
 def overlaps(spark: SparkSession, records: DataFrame) -> DataFrame:
     """(train_id, other_id, split, source_name, exact): all same or near-same pairs across the sides."""
-    hashed = cut(hashed_records(records))
+    hashed = hashed_records(records)
     ours = hashed.where("train").select(F.col("record_id").alias("train_id"), F.col("class").alias("train_class"))
     theirs = hashed.where("not train").select(F.col("record_id").alias("other_id"), "split", "source_name", F.col("class").alias("other_class"))
     exact = ours.join(theirs, F.col("train_class") == F.col("other_class")).select("train_id", "other_id", "split", "source_name", F.lit(True).alias("exact"))
