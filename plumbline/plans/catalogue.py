@@ -8,3 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with its SQL where there is one."""
+
+    def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from plumbline.plans import claim_queries, record_queries, retrieval_queries  # noqa: F401
+    from plumbline.streaming import windows  # noqa: F401
