@@ -186,9 +186,10 @@ def message_pairs(records: DataFrame) -> DataFrame:
 
 def is_placeholder(answer: Column) -> Column:
     """Whether an answer is missing, blank or a placeholder; an empty JSON list or object is an answer."""
-    around = r"[\s\p{P}\p{S}\p{Cf}\p{Z}]+"
-    bare = F.lower(F.regexp_replace(F.regexp_replace(answer, "^" + around, ""), around + "$", ""))
-    return answer.isNull() | bare.isin(*PLACEHOLDERS) & ~answer.rlike(r"^\s*(?:\[\s*\]|\{\s*\})\s*$")
+    sign = r"[\s\p{P}\p{S}\p{Cf}\p{Z}]"
+    bare = F.lower(F.regexp_replace(F.regexp_replace(answer, f"^{sign}+", ""), f"{sign}+$", ""))
+    listed = (F.length(answer) <= 64) & bare.isin(*PLACEHOLDERS)
+    return answer.isNull() | (listed | answer.rlike(f"^{sign}*$")) & ~answer.rlike(r"^\s*(?:\[\s*\]|\{\s*\})\s*$")
 
 
 def open_json(answer: Column) -> Column:
@@ -207,7 +208,7 @@ def defective_pairs(records: DataFrame) -> DataFrame:
     kinds = pairs.withColumn("json", json).withColumn("empty", is_placeholder(answer))
     model = fit_closing(kinds.where("not json and not empty").select("answer"), "answer")
     looked = kinds.withColumn("prose", F.when(~F.col("json") & ~F.col("empty"), answer))
-    looked = looked.withColumn("spoken", spoken_defects("user", "prose"))
+    looked = looked.withColumn("spoken", spoken_defects(F.when(F.col("prose").isNotNull(), F.col("user")), "prose"))
     scored = model.score(looked, "prose")
     cut_off = F.when(F.col("json"), open_json(answer)).otherwise(F.col("cut_probability") >= 0.5)
     defect = F.when(F.col("empty"), "empty").when(F.col("spoken").isNotNull(), F.col("spoken")).when(cut_off, "truncated")

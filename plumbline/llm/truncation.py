@@ -23,6 +23,8 @@ from plumbline.session import cut, table
 
 #: Bound of the rows that the classifier is fitted on (before they are cut artificially).
 TRAIN_ROWS = 24_000
+#: Partitions of the (bounded) rows of the fit; each iteration sends one gradient from each.
+FIT_PARTITIONS = 4
 #: Size of the hashed feature space.
 FEATURES = 1 << 15
 #: Lengths that are kept as field limits.
@@ -46,6 +48,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 #: A text in which a sentence ends before the last one.
 _SEVERAL = r"(?s)[.!?。！？…\n]\s+\S|[。！？…\n]\s*[^\s…]"
+#: Blanks that don't count at the end of a text.
+BLANKS_BEHIND = " \n\t\r\u00a0\u3000\u200b\ufeff"
 #: Closing characters that the features look at (the end is folded, not the whole text).
 CLOSING = 160
 
@@ -66,10 +70,10 @@ def _closing(text: Column) -> Column:
         segment = F.element_at(F.filter(F.concat(F.array(F.lit("")), F.split(body, r"(?<=[.!?])\s+|(?<=。)|\n|……|(?<=…)\s*")), lambda x: (F.trim(x) != "") | (x == "")), -1)
         segment = F.regexp_replace(segment, r"^\s*(?:[-*•]\s+)?", "")
         words = F.regexp_extract_all(segment, F.lit(r"(\p{IsHan}|[^\s\p{IsHan}]+)"), F.lit(1))
-        return F.struct(mark.alias("mark"), body.alias("body"), words.alias("words"), F.when(mark != "", "mark").otherwise(kind.otherwise("sign")).alias("end"), (~text.rlike(_SEVERAL)).alias("whole"), text.rlike(r"(?:^|\n)\s*[-*•]\s[^\n]*$").alias("item"))
+        return F.struct(mark.alias("mark"), body.alias("body"), words.alias("words"), F.when(mark != "", "mark").otherwise(kind.otherwise("sign")).alias("end"), (~text.rlike(_SEVERAL)).alias("whole"), F.substring_index(text, "\n", -1).rlike(r"^\s*[-*•]\s").alias("item"))
 
-    trimmed = F.regexp_replace(text, r"[\s\x{a0}]+$", "")
-    return _let(F.regexp_replace(folded(F.right(trimmed, F.lit(CLOSING))), r"\s+$", ""), parts)
+    trimmed = F.rtrim(text, F.lit(BLANKS_BEHIND))
+    return _let(F.rtrim(folded(F.right(trimmed, F.lit(CLOSING))), F.lit(BLANKS_BEHIND)), parts)
 
 
 def _features(c: Column, length: Column, limits: list[int]) -> Column:
@@ -104,12 +108,14 @@ def closing_features(frame: DataFrame, text: str, limits: list[int], name: str =
     return frame.withColumn(name, _let(_closing(column), lambda c: _features(c, F.length(column), limits)))
 
 
-def field_limits(frame: DataFrame, text: str) -> list[int]:
-    """The lengths at which most texts without a full stop end; at most LIMITS numbers."""
-    rows = frame.select(F.length(text).alias("n"), F.regexp_replace(F.col(text), r"\s+$", "").alias("t")).where("n >= 60")
-    counts = rows.groupBy("n").agg(F.count_if(~F.col("t").rlike("[.。!?！？…]$")).alias("open"), F.count("*").alias("all"))
-    around = counts.where("open >= 5 and 2 * open >= all").orderBy(F.desc("open"), "n").limit(LIMITS)
-    return sorted(r["n"] for r in around.select("n").collect())
+def field_limits(frame: DataFrame, text: str) -> tuple[list[int], int]:
+    """The lengths at which most texts without a full stop end (at most LIMITS numbers), and the number of texts."""
+    last = F.right(F.rtrim(F.col(text), F.lit(BLANKS_BEHIND)), F.lit(1))
+    rows = frame.where(F.col(text).isNotNull()).select(F.length(text).alias("n"), last.isin(*".。!?！？…").alias("stopped"))
+    counts = rows.groupBy("n").agg(F.count_if(~F.col("stopped")).alias("open"), F.count("*").alias("all"))
+    often = F.when((F.col("n") >= 60) & (F.col("open") >= 5) & (2 * F.col("open") >= F.col("all")), F.struct(-F.col("open"), "n"))
+    found = counts.agg(F.sum("all").alias("texts"), F.slice(F.array_sort(F.collect_list(often)), 1, LIMITS)["n"].alias("limits")).first()
+    return sorted(found["limits"]), found["texts"] or 0
 
 
 def _cut_values(intact: DataFrame, limits: list[int]) -> DataFrame:
@@ -149,9 +155,9 @@ class ClosingModel:
 
 def fit_closing(frame: DataFrame, text: str, train_rows: int = TRAIN_ROWS) -> ClosingModel:
     """Learns from the intact values among ``frame[text]``; the fit sees at most about ``train_rows`` of them."""
-    limits = field_limits(frame, text)
+    limits, texts = field_limits(frame, text)
     rows = frame.select(F.col(text).alias("text")).where("text is not null")
-    share = min(1.0, train_rows / max(1, rows.count()))
+    share = min(1.0, train_rows / max(1, texts))
     sample = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
     text = F.col("text")
 
@@ -166,7 +172,7 @@ def fit_closing(frame: DataFrame, text: str, train_rows: int = TRAIN_ROWS) -> Cl
     intact = cut(sample.select("text", _let(_closing(text), judged).alias("kind"))).where("kind is not null")
     positives = _cut_values(intact.where("kind <> 'numbered'").select("text"), limits)
     examples = intact.select("text", F.lit(0.0).alias("label")).unionByName(positives)
-    featured = cut(closing_features(examples, "text", limits).select("label", "features"))
+    featured = cut(closing_features(examples, "text", limits).select("label", "features").repartition(FIT_PARTITIONS))
     if featured.agg(F.countDistinct("label")).first()[0] < 2:
         return ClosingModel(None, limits)
     hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="features", outputCol="vector").transform(featured)
