@@ -22,6 +22,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,10 @@ SHINGLE = 3
 COUNTERS = 1 << 20
 #: Bits of the bitmap of evaluation shingles (a power of two).
 BITMAP = 1 << 23
-#: Bits of the parity sketch, in longs.
-SKETCH = 3
+#: Longs of the parity sketch; further ones of texts with at least so many words, whose first sketch is full.
+SKETCH, LONG_SKETCH, LONG = 3, 5, 250
+#: Candidate classes up to which their ids (8 bytes each) are broadcast.
+BROADCAST_ROWS = 100_000
 #: At most this part of the words of the longer text may differ.
 TOLERANCE = 0.1
 # Spellings of the roles that count.
@@ -55,57 +58,61 @@ def counted_text(messages: Column) -> Column:
     return F.array_join(F.transform(kept, lambda m: m["content"]), "\n")
 
 
-def sketch(words: np.ndarray) -> np.ndarray:
-    """SKETCH longs: the parity of the number of words in each of their bits."""
-    bits = np.bincount((words.astype(np.int64) * 0x9E3779B1 >> 16 & 0xFFFFFF) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+def sketch(words: np.ndarray, longs: int, salt: int) -> np.ndarray:
+    """``longs`` longs: the parity of the number of words in each of their bits."""
+    bits = np.bincount((words.astype(np.int64) * salt >> 16 & 0xFFFFFF) % (64 * longs), minlength=64 * longs) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+SKETCHES = [*(f"s{i}" for i in range(SKETCH)), *(f"e{i}" for i in range(LONG_SKETCH))]
 HASHES = T.StructType(
-    [T.StructField("class", T.BinaryType()), T.StructField("words", T.ArrayType(T.IntegerType())), *(T.StructField(f"s{i}", T.LongType()) for i in range(SKETCH))]
+    [T.StructField("class", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("words", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in SKETCHES)]
 )
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = self[word] = zlib.crc32(word.encode("utf-8", "replace")) - (1 << 31)
+        return h
+
+
 @F.pandas_udf(HASHES)
 def text_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    known: dict[str, int] = {}
+    known = _WordHashes()
     for texts in batches:
-        classes, words, sketches = [], [], []
+        classes, sizes, words, sketches = [], [], [], []
+        none = np.zeros(LONG_SKETCH, dtype=np.int64)
         for text in texts:
             found = WORDS.findall(unify(text)[0]) if text else []
             if len(known) > KEPT:
-                known = {}
-            own = []
-            for w in found:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = zlib.crc32(w.encode("utf-8", "replace")) - (1 << 31)
-                own.append(h)
-            array = np.array(own, dtype=np.int32)
+                known.clear()
+            array = np.fromiter(map(known.__getitem__, found), dtype=np.int32, count=len(found))
             classes.append(hashlib.md5(" ".join(found).encode("utf-8", "replace")).digest())
-            words.append(array)
-            sketches.append(sketch(array))
-        columns = np.array(sketches, dtype=np.int64).reshape(-1, SKETCH)
-        yield pd.DataFrame({"class": classes, "words": words, **{f"s{i}": columns[:, i] for i in range(SKETCH)}})
+            sizes.append(len(found))
+            words.append(array.tobytes())
+            sketches.append(np.concatenate([sketch(array, SKETCH, 0x9E3779B1), sketch(array, LONG_SKETCH, 0x85EBCA77) if len(found) >= LONG else none]))
+        columns = np.array(sketches, dtype=np.int64).reshape(-1, len(SKETCHES))
+        yield pd.DataFrame({"class": classes, "n": np.array(sizes, dtype=np.int32), "words": words, **{c: columns[:, i] for i, c in enumerate(SKETCHES)}})
 
 
 def hashed_records(records: DataFrame) -> DataFrame:
-    """(record_id, split, source_name, train, class, words, s0..): the class is the hash of all words."""
+    """(record_id, split, source_name, train, class, n, words, s0.., e0..): the class is the hash of all words, ``words``
+    holds their 32-bit hashes in order."""
     split = F.lower(F.trim(F.col("metadata.split")))
     rows = records.where(split.isin("train", "validation", "test")).select(F.col("record_id").cast("bigint").alias("record_id"), split.alias("split"), F.col("metadata.source_name").alias("source_name"), text_hashes(counted_text(F.col("messages"))).alias("h"))
-    rows = cut(rows).where("size(h.words) > 0")
+    rows = cut(rows).where("h.n > 0")
     return rows.select("record_id", "split", "source_name", (F.col("split") == "train").alias("train"), "h.*")
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """The distinct hashes of the runs of SHINGLE words."""
-    w = np.asarray(words, dtype=np.int64)
+def shingles(words: bytes) -> np.ndarray:
+    """The distinct 32-bit hashes of the runs of SHINGLE words."""
+    w = np.frombuffer(words, dtype=np.int32).astype(np.int64)
     mixed = np.zeros(max(0, len(w) - SHINGLE + 1), dtype=np.int64)
     with np.errstate(over="ignore"):
         for i in range(SHINGLE):
             mixed = (mixed + w[i : i + len(mixed)]) * 0x1E3779B97F4A7C15
             mixed ^= mixed >> 29
-    return np.unique(mixed)
+    return np.unique((mixed >> 16).astype(np.int32))
 
 
 def most_edits(length: int) -> int:
@@ -115,23 +122,29 @@ def most_edits(length: int) -> int:
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def counter_ids(words: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(shingles(w) & (COUNTERS - 1)).astype(np.int32) for w in words], index=words.index)
+    return pd.Series([shingles(w) & (COUNTERS - 1) for w in words], index=words.index)
+
+
+def _gathered(cells: DataFrame, size: int) -> np.ndarray:
+    """``cells`` (i, v), at most ``size`` distinct i, as one array; sent to the driver in rows of 1024 cells."""
+    rows = cells.groupBy(F.shiftright("i", 10).alias("row")).agg(F.collect_list("i").alias("i"), F.collect_list("v").alias("v"))
+    out = np.zeros(size, dtype=np.int64)
+    for row in rows.toLocalIterator():
+        out[row["i"]] = row["v"]
+    return out
 
 
 def shingle_counters(hashed: DataFrame) -> np.ndarray:
     """How many records hold a shingle of each counter; the result has COUNTERS numbers, whatever the input."""
-    held = hashed.select(F.explode(counter_ids("words")).alias("c")).groupBy("c").agg(F.count("*").cast("int").alias("n")).toPandas()
-    counts = np.zeros(COUNTERS, dtype=np.int32)
-    counts[held["c"].to_numpy()] = held["n"].to_numpy()
-    return counts
+    held = hashed.select(F.explode(counter_ids("words")).alias("i")).groupBy("i").agg(F.count("*").alias("v"))
+    return _gathered(held, COUNTERS).astype(np.int32)
 
 
 def shingle_bitmap(prefixes: DataFrame) -> np.ndarray:
-    """BITMAP bits, packed: those of the hashed shingles of ``prefixes``; the same size for any input."""
-    held = prefixes.select((F.col("shingle").bitwiseAND(BITMAP - 1)).cast("int").alias("b")).distinct().toPandas()
-    bits = np.zeros(BITMAP, dtype=np.uint8)
-    bits[held["b"].to_numpy()] = 1
-    return np.packbits(bits)
+    """BITMAP bits in longs: those of the hashed shingles of ``prefixes``; the same size for any input."""
+    bit = F.col("shingle").bitwiseAND(BITMAP - 1)
+    words = prefixes.select(F.explode("shingles").alias("shingle")).groupBy(F.shiftright(bit, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, shingle & 63)")).alias("v"))
+    return _gathered(words, BITMAP // 64)
 
 
 def rare_shingles(spark: SparkSession, words: Column, counts: np.ndarray, bitmap: np.ndarray | None = None) -> Column:
@@ -139,19 +152,19 @@ def rare_shingles(spark: SparkSession, words: Column, counts: np.ndarray, bitmap
     a bitmap, those that it holds. None where nothing may differ. Texts shorter than that have all their shingles."""
     shared = spark.sparkContext.broadcast((counts, bitmap))
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def rarest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counts, bitmap = shared.value
         for lists in batches:
             out = []
             for w in lists:
-                d = most_edits(len(w))
-                own = shingles(w) if d else np.empty(0, np.int64)
+                d = most_edits(len(w) // 4)
+                own = shingles(w) if d else np.empty(0, np.int32)
                 if len(own):
-                    own = own[np.lexsort((own, counts[own & (COUNTERS - 1)]))[: SHINGLE * d + 1]]
+                    own = own[np.argsort(counts[own & (COUNTERS - 1)].astype(np.int64) << 32 | own.view(np.uint32))[: SHINGLE * d + 1]]
                     if bitmap is not None:
                         b = own & (BITMAP - 1)
-                        own = own[bitmap[b >> 3] >> (7 - (b & 7)).astype(np.uint8) & 1 == 1]
+                        own = own[bitmap[b >> 6] >> (b & 63) & 1 == 1]
                 out.append(own)
             yield pd.Series(out, index=lists.index)
 
@@ -189,9 +202,9 @@ def few_edits(a: list[int], b: list[int], most: int) -> bool:
 def near_same(left: pd.Series, right: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(left, right):
+        a, b = np.frombuffer(a, dtype=np.int32).tolist(), np.frombuffer(b, dtype=np.int32).tolist()
         longer = max(len(a), len(b))
         most = int(longer * TOLERANCE + 1e-9)
-        a, b = a.tolist(), b.tolist()
         common = sum((Counter(a) & Counter(b)).values())
         out.append(longer - common <= most and few_edits(a, b, most))
     return pd.Series(out, index=left.index)
@@ -200,19 +213,28 @@ def near_same(left: pd.Series, right: pd.Series) -> pd.Series:
 def near_classes(spark: SparkSession, hashed: DataFrame) -> DataFrame:
     """(train_class, other_class): classes of different hash that are near-same, one of each side."""
     counts = shingle_counters(hashed)
-    side = lambda rows, words: rows.select(F.xxhash64("class").alias("id"), F.size("words").alias("n"), *(f"s{i}" for i in range(SKETCH)), F.explode(words).alias("shingle"))
-    texts = hashed.groupBy("class", "train").agg(F.any_value(F.struct("words", *(f"s{i}" for i in range(SKETCH)))).alias("h")).select("class", "train", "h.*")
-    theirs = cut(side(texts.where("not train"), rare_shingles(spark, F.col("words"), counts)))
-    ours = side(texts.where("train"), rare_shingles(spark, F.col("words"), counts, shingle_bitmap(theirs)))
-    ours = ours.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ours.columns if c != "shingle"))
-    longer = F.greatest("n", "a_n")
+    held = ["n", *SKETCHES, "shingles"]
+
+    def prefixes(rows: DataFrame, words: Column) -> DataFrame:
+        """One row (id, n, sketches, shingles) a class, copies gone."""
+        return rows.withColumn("shingles", words).groupBy("class").agg(F.any_value(F.struct(*held)).alias("h")).select(F.xxhash64("class").alias("id"), "h.*")
+
+    theirs = cut(prefixes(hashed.where("not train"), rare_shingles(spark, F.col("words"), counts)))
+    ours = prefixes(hashed.where("train"), rare_shingles(spark, F.col("words"), counts, shingle_bitmap(theirs)))
+    theirs = theirs.select("id", "n", *SKETCHES, F.explode("shingles").alias("shingle"))
+    ours = ours.select(*(F.col(c).alias(f"a_{c}") for c in ("id", "n", *SKETCHES)), F.explode("shingles").alias("shingle"))
+    longer, shorter = F.greatest("n", "a_n"), F.least("n", "a_n")
     most = F.floor(longer * TOLERANCE + 1e-9)
-    flipped = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"a_s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("a_s0"))))
-    bounds = (longer - F.least("n", "a_n") <= most) & (flipped <= 2 * most)
-    pairs = ours.join(theirs, "shingle").where(bounds & (F.col("id") != F.col("a_id"))).select("a_id", "id").distinct()
-    held = texts.select(F.xxhash64("class").alias("id"), "class", "train", "words")
-    a = held.where("train").select(F.col("id").alias("a_id"), F.col("class").alias("train_class"), F.col("words").alias("a"))
-    b = held.where("not train").select("id", F.col("class").alias("other_class"), F.col("words").alias("b"))
+    flipped = lambda names: reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in names])
+    bounds = (longer - shorter <= most) & (flipped(SKETCHES[:SKETCH]) <= 2 * most) & ((shorter < LONG) | (flipped(SKETCHES[SKETCH:]) <= 2 * most))
+    pairs = cut(ours.join(theirs, "shingle").where(bounds & (F.col("id") != F.col("a_id"))).select("a_id", "id").distinct())
+
+    ids = pairs.select(F.explode(F.array("a_id", "id")).alias("id")).distinct()
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # 8 bytes a row; beyond that an ordinary join
+    met = hashed.select(F.xxhash64("class").alias("id"), "class", "train", "words").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    texts = met.groupBy("id", "class", "train").agg(F.any_value("words").alias("words"))
+    a = texts.where("train").select(F.col("id").alias("a_id"), F.col("class").alias("train_class"), F.col("words").alias("a"))
+    b = texts.where("not train").select("id", F.col("class").alias("other_class"), F.col("words").alias("b"))
     return pairs.join(a, "a_id").join(b, "id").where(near_same("a", "b")).select("train_class", "other_class")
 
 
