@@ -25,4 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from plumbline.llm.grouped_split import P5_FOUND_SQL
+
+    return {"p5_found": P5_FOUND_SQL}

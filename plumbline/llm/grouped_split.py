@@ -130,3 +130,16 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "split_targets").select(F.col("split_name").alias("split"), "target_share")
     shared = targets.join(counts, "split", "left").withColumn("total", F.sum("records").over(Window.partitionBy(F.lit(1))))  # one row a split
     return shared.select("split", "target_share", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("groups", F.lit(0)).alias("groups"), "largest_group", F.round(F.coalesce("records", F.lit(0)) / F.col("total"), 6).alias("actual_share"))
+
+
+_NUMBER = r"try_cast(nullif(regexp_extract({}, '(?i)(?:^|[^\p{{L}}\p{{N}}])ext[\s_.:#/\-]*0*(\d{{1,18}})(?:$|[^\p{{L}}\p{{N}}])', 1), '') AS BIGINT)"
+_TIE = "nullif(CASE WHEN lower(trim({0}, ' \t\n\r\u00a0\u3000')) IN ('', 'unknown', 'n/a', 'none', '-') THEN '' ELSE lower(trim({0}, ' \t\n\r\u00a0\u3000')) END, '')"
+#: The same result by reachability, for DuckDB on small tables.
+P5_FOUND_SQL = f"""WITH RECURSIVE named AS (SELECT record_id, {_NUMBER.format("metadata.case_id")} AS by_case, {_NUMBER.format("replace(metadata.sample_id, '_', '-')")} AS by_sample FROM chat_records),
+cases AS (SELECT {_NUMBER.format("case_id")} AS c, {_TIE.format("author_id")} AS author, {_TIE.format("source_document")} AS document FROM case_registry),
+edge AS (SELECT by_case AS a, by_sample AS b FROM named WHERE by_case <> by_sample
+  UNION SELECT c, min(c) OVER (PARTITION BY author) FROM cases WHERE author IS NOT NULL UNION SELECT c, min(c) OVER (PARTITION BY document) FROM cases WHERE document IS NOT NULL),
+link AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach AS (SELECT DISTINCT a AS node, a AS seen FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON r.seen = l.a),
+least AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT n.record_id, coalesce(l.component, coalesce(n.by_case, n.by_sample)) AS group_case FROM named n LEFT JOIN least l ON l.node = coalesce(n.by_case, n.by_sample) WHERE coalesce(n.by_case, n.by_sample) IS NOT NULL"""
