@@ -20,7 +20,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chat_records")
 
 
-_ROLES = "list_transform(messages, m -> lower(trim(m.role)))"
+_ROLES = "list_transform(messages, lambda m: lower(trim(m.role)))"
 
 
 @query(f"""SELECT array_to_string({_ROLES}, '>') AS roles, count(*) AS records, count_if({_ROLES} = ['system', 'user', 'assistant']) AS well_formed,
@@ -32,7 +32,7 @@ def chat_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("roles").agg(F.count("*").alias("records"), F.count_if(F.col("roles") == "system>user>assistant").alias("well_formed"), F.count_if(F.col("source_name").isNull()).alias("unnamed"))
 
 
-_PARTS = """part AS (SELECT record_id, metadata.split AS split, md5(regexp_replace(lower(array_to_string(list_transform(messages, m -> coalesce(m.content, '')), ' ')), '%s', '', 'g')) AS content FROM chat_records WHERE metadata.split IS NOT NULL)""" % SQL_BLANK
+_PARTS = """part AS (SELECT record_id, metadata.split AS split, md5(regexp_replace(lower(array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), ' ')), '%s', '', 'g')) AS content FROM chat_records WHERE metadata.split IS NOT NULL)""" % SQL_BLANK
 
 
 @query(f"""WITH {_PARTS}, held AS (SELECT DISTINCT split, content FROM part)
@@ -57,12 +57,12 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split", "source_name").agg(F.count("*").alias("records"), F.countDistinct("sample_id").alias("samples"), F.countDistinct(case_label(F.col("sample_id"))).alias("cases"))
 
 
-_SIDES = """side AS (SELECT record_id, list_filter(messages, m -> lower(trim(m.role)) = 'user')[1].content AS asked, list_filter(messages, m -> lower(trim(m.role)) = 'assistant')[1].content AS answer FROM chat_records)"""
+_SIDES = """side AS (SELECT record_id, list_filter(messages, lambda m: lower(trim(m.role)) = 'user')[1].content AS asked, list_filter(messages, lambda m: lower(trim(m.role)) = 'assistant')[1].content AS answer FROM chat_records)"""
 _IDS = "list_distinct(regexp_extract_all(@, '\\[([A-Za-z0-9_.:-]+)\\]', 1))"
 
 
 @query(f"""WITH {_SIDES}, named AS (SELECT record_id, {_IDS.replace("@", "asked")} AS allowed, {_IDS.replace("@", "answer")} AS cited FROM side WHERE asked IS NOT NULL AND answer IS NOT NULL)
-SELECT record_id, len(cited) AS cited, len(list_filter(cited, x -> NOT list_contains(allowed, x))) AS unknown FROM named WHERE len(cited) > 0""")
+SELECT record_id, len(cited) AS cited, len(list_filter(cited, lambda x: NOT list_contains(allowed, x))) AS unknown FROM named WHERE len(cited) > 0""")
 def citation_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that an answer cites, and those of them that its question doesn't give."""
     sides = _records(spark, sf_dir).select("record_id", bracketed_ids(message_content(F.col("messages"), "user")).alias("allowed"), bracketed_ids(message_content(F.col("messages"), "assistant")).alias("cited"))
@@ -80,6 +80,22 @@ def answer_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("record_id", count("entities"), count("claims"))
 
 
+_LISTED = r"""'"evidence_ids"\s*:\s*\[([^\]]*)\]'"""
+
+
+@query(f"""WITH {_SIDES}, named AS (SELECT record_id, (SELECT metadata.role FROM chat_records c WHERE c.record_id = s.record_id) AS role, {_IDS.replace("@", "asked")} AS allowed,
+  list_distinct(regexp_extract_all(array_to_string(regexp_extract_all(answer, {_LISTED}, 1), ' '), '"([^"]+)"', 1)) AS cited FROM side s WHERE asked IS NOT NULL AND answer IS NOT NULL AND answer LIKE '%"evidence_ids"%'),
+total AS (SELECT role, sum(len(allowed))::BIGINT AS gold, sum(len(cited))::BIGINT AS predicted, sum(len(list_intersect(allowed, cited)))::BIGINT AS correct FROM named GROUP BY role)
+SELECT role, gold, predicted, correct, round(correct / nullif(predicted, 0), 6) AS precision, round(correct / nullif(gold, 0), 6) AS recall FROM total""")
+def answer_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence ids listed at any depth of JSON answers against those that the question gives, micro-averaged per role."""
+    asked, answer = message_content(F.col("messages"), "user"), message_content(F.col("messages"), "assistant")
+    listed = F.array_join(F.regexp_extract_all(answer, F.lit(r'"evidence_ids"\s*:\s*\[([^\]]*)\]'), F.lit(1)), " ")
+    rows = _records(spark, sf_dir).where(asked.isNotNull() & answer.contains('"evidence_ids"')).select(F.col("metadata.role").alias("role"), bracketed_ids(asked).alias("allowed"), F.array_distinct(F.regexp_extract_all(listed, F.lit('"([^"]+)"'), F.lit(1))).alias("cited"))
+    total = rows.groupBy("role").agg(F.sum(F.size("allowed")).alias("gold"), F.sum(F.size("cited")).alias("predicted"), F.sum(F.size(F.array_intersect("allowed", "cited"))).alias("correct"))
+    return total.select("role", "gold", "predicted", "correct", ratio(F.col("correct"), F.col("predicted")).alias("precision"), ratio(F.col("correct"), F.col("gold")).alias("recall"))
+
+
 @query("""WITH place AS (SELECT record_id, coalesce(metadata.source_name, '') AS source_name, row_number() OVER (PARTITION BY coalesce(metadata.source_name, '') ORDER BY record_id) AS turn FROM chat_records)
 SELECT record_id, source_name, turn FROM place ORDER BY turn, source_name LIMIT 500""")
 def round_robin_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +104,7 @@ def round_robin_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_robin(rows, "source_name", "record_id", 500).select("record_id", "source_name", F.col("turn").cast("bigint").alias("turn"))
 
 
-@query(r"""WITH side AS (SELECT record_id, list_filter(messages, m -> lower(trim(m.role)) = 'user')[1].content AS asked, list_filter(messages, m -> lower(trim(m.role)) = 'assistant')[1].content AS answer FROM chat_records),
+@query(r"""WITH side AS (SELECT record_id, list_filter(messages, lambda m: lower(trim(m.role)) = 'user')[1].content AS asked, list_filter(messages, lambda m: lower(trim(m.role)) = 'assistant')[1].content AS answer FROM chat_records),
 word AS (SELECT record_id, len(regexp_extract_all(asked, '[^ \t\n]+')) AS p, len(regexp_extract_all(answer, '[^ \t\n]+')) AS a FROM side WHERE asked IS NOT NULL AND answer IS NOT NULL)
 SELECT record_id, least(p, 120 - a) AS prompt_words, a AS answer_words, greatest(p - (120 - a), 0) AS cut_words, least(p, 120 - a) AS masked FROM word WHERE a > 0 AND a <= 120""")
 def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ def tokens(column: str) -> str:
     """The list of lexical tokens of a text."""
     k = key(column)
     runs = f"regexp_extract_all({k}, '[\\x{{4e00}}-\\x{{9fff}}]+')"
-    grams = f"flatten(list_transform({runs}, r -> list_transform(generate_series(1, length(r) - 1), i -> substring(r, i::BIGINT, 2))))"
+    grams = f"flatten(list_transform({runs}, lambda r: list_transform(generate_series(1, length(r) - 1), lambda i: substring(r, i::BIGINT, 2))))"
     return f"list_concat({grams}, regexp_extract_all({k}, '[a-z0-9]+'))"
 
 
