@@ -18,6 +18,11 @@ def metric_key(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, BLANK + "+", ""))
 
 
+def trimmed(text: Column) -> Column:
+    """``text`` without white space at its ends."""
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 @F.pandas_udf(T.StringType())
 def comparison_key(texts: pd.Series) -> pd.Series:
     """NFKC, stripped, full case folding, white space collapsed; computed once per distinct value of a batch."""

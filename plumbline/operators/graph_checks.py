@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import filled, metric_key
+from plumbline.functions.text import filled, metric_key, trimmed
 
 # Spellings of the two polarities.
 POSITIVE = ("positive", "affirmed", "true", "肯定", "存在")
@@ -67,7 +67,7 @@ def missing_evidence(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def named_types(claims: DataFrame) -> DataFrame:
     """(run_id, name, type) of all claim ends with a name and a type."""
-    ends = F.array(*[F.struct(metric_key(F.col(n)).alias("name"), F.trim(F.col(f"{n}_type")).alias("type"), F.col(f"{n}_id").alias("id")) for n in ("subject", "object")])
+    ends = F.array(*[F.struct(metric_key(F.col(n)).alias("name"), trimmed(F.col(f"{n}_type")).alias("type"), F.col(f"{n}_id").alias("id")) for n in ("subject", "object")])
     return claims.select("run_id", F.explode(ends).alias("e")).select("run_id", "e.*").where("name <> '' and type <> ''")
 
 
@@ -80,7 +80,7 @@ def resolved_types(claims: DataFrame) -> DataFrame:
     """(claim_row, subject_type): the explicit one, else the only one that the run gives the id, else the name."""
     types = named_types(claims)
     only = lambda key: types.where(F.col(key) != "").groupBy("run_id", key).agg(F.countDistinct("type").alias("n"), F.min("type").alias(f"by_{key}")).where("n = 1").drop("n")
-    rows = claims.select("claim_row", "run_id", F.col("subject_id").alias("id"), metric_key(F.col("subject")).alias("name"), filled(F.trim("subject_type")).alias("explicit"))
+    rows = claims.select("claim_row", "run_id", F.col("subject_id").alias("id"), metric_key(F.col("subject")).alias("name"), filled(trimmed(F.col("subject_type"))).alias("explicit"))
     found = rows.join(only("id"), ["run_id", "id"], "left").join(only("name"), ["run_id", "name"], "left")
     return found.select("claim_row", F.coalesce("explicit", "by_id", "by_name").alias("subject_type"))
 

@@ -9,7 +9,7 @@ from plumbline.functions.text import edge_id
 from plumbline.operators import graph_checks as checks
 from plumbline.operators.metrics import micro_prf, ratio, set_counts
 from plumbline.plans.catalogue import query
-from plumbline.plans.sql import KEYED, key
+from plumbline.plans.sql import KEYED, key, trimmed
 from plumbline.session import table
 
 
@@ -58,8 +58,8 @@ def claims_missing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TYPES = f"""type AS (
-  SELECT run_id, {key("subject")} AS name, trim(subject_type) AS type, subject_id AS id FROM graph_claims UNION ALL
-  SELECT run_id, {key("object")}, trim(object_type), object_id FROM graph_claims),
+  SELECT run_id, {key("subject")} AS name, {trimmed("subject_type")} AS type, subject_id AS id FROM graph_claims UNION ALL
+  SELECT run_id, {key("object")}, {trimmed("object_type")}, object_id FROM graph_claims),
 named AS (SELECT * FROM type WHERE name <> '' AND type <> '')"""
 
 
@@ -70,7 +70,7 @@ def claims_type_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_TYPES}, by_id AS (SELECT run_id, id, min(type) AS type FROM named WHERE id <> '' GROUP BY ALL HAVING count(DISTINCT type) = 1),
 by_name AS (SELECT run_id, name, min(type) AS type FROM named GROUP BY run_id, name HAVING count(DISTINCT type) = 1)
-SELECT c.claim_row, coalesce(nullif(trim(c.subject_type), ''), i.type, n.type) AS subject_type FROM graph_claims c
+SELECT c.claim_row, coalesce(nullif({trimmed("c.subject_type")}, ''), i.type, n.type) AS subject_type FROM graph_claims c
 LEFT JOIN by_id i ON i.run_id = c.run_id AND i.id = c.subject_id LEFT JOIN by_name n ON n.run_id = c.run_id AND n.name = {key("c.subject")}""")
 def claims_resolved_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.resolved_types(_claims(spark, sf_dir))

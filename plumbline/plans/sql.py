@@ -7,6 +7,10 @@ def key(column: str) -> str:
     return f"lower(regexp_replace({column}, '{BLANK}', '', 'g'))"
 
 
+def trimmed(column: str) -> str:
+    return f"regexp_replace({column}, '^{BLANK}|{BLANK}$', '', 'g')"
+
+
 def tokens(column: str) -> str:
     """The list of lexical tokens of a text."""
     k = key(column)
