@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import edge_id
 from plumbline.operators import graph_checks as checks
+from plumbline.operators.candidate_edges import PER_DOCUMENT, TRIGGERS, document_sentences, mentions
+from plumbline.operators.candidate_edges import candidate_edges as edges_of
 from plumbline.operators.metrics import micro_prf, ratio, set_counts
 from plumbline.plans.catalogue import query
 from plumbline.plans.sql import KEYED, key, trimmed
@@ -145,3 +147,26 @@ def arm_paired_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     arm = _claims(spark, sf_dir).where("confidence is not null").groupBy(F.split_part("run_id", F.lit("--"), F.lit(1)).alias("arm"), F.try_element_at("qualifiers", F.lit("case_id")).alias("case_id")).agg(F.avg("confidence").alias("mean"))
     a, b = arm.select(F.col("arm").alias("arm_a"), "case_id", F.col("mean").alias("ma")), arm.select(F.col("arm").alias("arm_b"), "case_id", F.col("mean").alias("mb"))
     return a.join(b, "case_id").where("arm_a < arm_b").groupBy("arm_a", "arm_b").agg(F.count("*").alias("cases"), F.round(F.avg(F.col("mb") - F.col("ma")), 6).alias("mean_delta"))
+
+
+_MARKERS = ", ".join(f"({no}, '{p}', '{r}', {list(m)})" for no, (p, r, m) in enumerate(TRIGGERS))
+
+
+@query(f"""WITH part AS (SELECT doc_id, case_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？；\\n]+|\\. '), lambda s: {trimmed("s")}), lambda s: s <> '') AS s FROM documents WHERE text IS NOT NULL AND case_id IS NOT NULL),
+sent AS (SELECT doc_id, case_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS s_no FROM part),
+name AS (SELECT DISTINCT qualifiers['case_id'] AS case_id, unnest([subject, object]) AS name FROM graph_claims),
+men AS (SELECT DISTINCT s.doc_id, s.s_no, s.sentence, n.name, instr(s.sentence, n.name) AS pos FROM sent s JOIN name n ON s.case_id = n.case_id WHERE length(n.name) > 1 AND instr(s.sentence, n.name) > 0),
+trig AS (SELECT * FROM (VALUES {_MARKERS}) t(no, predicate, relation, markers)),
+hit AS (SELECT DISTINCT m.doc_id, m.s_no, t.no, t.predicate, t.relation, list_min(list_filter(list_transform(t.markers, lambda k: instr(m.sentence, k)), lambda i: i > 0)) AS at, list_filter(t.markers, lambda k: contains(m.sentence, k))[1] AS trigger FROM men m, trig t WHERE len(list_filter(t.markers, lambda k: contains(m.sentence, k))) > 0),
+l AS (SELECT h.*, m.name, m.pos, row_number() OVER (PARTITION BY h.doc_id, h.s_no, h.no ORDER BY m.pos DESC, m.name DESC) AS k FROM hit h JOIN men m ON m.doc_id = h.doc_id AND m.s_no = h.s_no AND m.pos < h.at),
+r AS (SELECT h.doc_id, h.s_no, h.no, m.name, m.pos, row_number() OVER (PARTITION BY h.doc_id, h.s_no, h.no ORDER BY m.pos, m.name) AS k FROM hit h JOIN men m ON m.doc_id = h.doc_id AND m.s_no = h.s_no AND m.pos > h.at),
+edge AS (SELECT l.doc_id, l.s_no, l.no, l.pos AS lpos, l.name AS subject, r.pos AS rpos, r.name AS object, l.predicate, l.relation, l.trigger, 'e-' || substr(sha256(l.name || '|' || l.predicate || '|' || r.name), 1, 12) AS edge_id
+  FROM l JOIN r ON l.doc_id = r.doc_id AND l.s_no = r.s_no AND l.no = r.no WHERE l.k <= 2 AND r.k <= 2 AND {key("l.name")} <> {key("r.name")}),
+once AS (SELECT *, row_number() OVER (PARTITION BY doc_id, edge_id ORDER BY s_no, no, lpos, subject, rpos, object) AS o FROM edge),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s_no, no, lpos, subject, rpos, object) AS k FROM once WHERE o = 1)
+SELECT doc_id, edge_id, subject, predicate, relation, object, trigger FROM kept WHERE k <= {PER_DOCUMENT}""")
+def candidate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between names of a document's case that stand on both sides of a trigger word in one of its sentences."""
+    ends = F.explode(F.array("subject", "object")).alias("name")
+    names = _claims(spark, sf_dir).select(F.try_element_at("qualifiers", F.lit("case_id")).alias("case_id"), ends).distinct()
+    return edges_of(mentions(document_sentences(table(spark, sf_dir, "documents")), names))

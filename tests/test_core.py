@@ -56,6 +56,15 @@ def test_checks(spark):
     assert checks.duplicates(checks.keyed_claims(claims.limit(0))).count() == 0
 
 
+def test_candidate_edges(spark):
+    from plumbline.operators.candidate_edges import candidate_edges, document_sentences, mentions
+
+    docs = spark.createDataFrame([(1, "c", "甲泵老化，乙阀泄漏，最终造成丙机跳闸。无关句。甲泵由乙阀组成"), (2, "d", "甲泵造成丙机跳闸"), (3, None, "甲泵造成丙机"), (4, "c", None)], "doc_id bigint, case_id string, text string")
+    names = spark.createDataFrame([("c", "甲泵"), ("c", "乙阀"), ("c", "丙机"), ("c", "丁"), ("d", "甲泵"), ("c", None)], "case_id string, name string")
+    got = {(r.doc_id, r.subject, r.predicate, r.object, r.trigger) for r in candidate_edges(mentions(document_sentences(docs), names)).collect()}
+    assert got == {(1, "甲泵", "导致", "丙机", "造成"), (1, "乙阀", "导致", "丙机", "造成"), (1, "甲泵", "包含", "乙阀", "由")}
+
+
 def test_metrics(spark):
     gold = spark.createDataFrame([("k", "a"), ("k", "b"), ("l", "c")], "key string, item string")
     pred = spark.createDataFrame([("k", "a"), ("k", "a"), ("k", "z")], "key string, item string")
