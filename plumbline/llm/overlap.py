@@ -40,7 +40,7 @@ COUNTERS = 1 << 20
 #: Bits of the bitmap of evaluation shingles (a power of two).
 BITMAP = 1 << 23
 #: Longs of the parity sketch; further ones of texts with at least so many words, whose first sketch is full.
-SKETCH, LONG_SKETCH, LONG = 3, 5, 250
+SKETCH, LONG_SKETCH, LONG = 3, 4, 250
 #: Candidate classes up to which their ids (8 bytes each) are broadcast.
 BROADCAST_ROWS = 100_000
 #: At most this part of the words of the longer text may differ.
@@ -83,7 +83,7 @@ def text_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         classes, sizes, words, sketches = [], [], [], []
         none = np.zeros(LONG_SKETCH, dtype=np.int64)
         for text in texts:
-            found = WORDS.findall(unify(text)[0]) if text else []
+            found = WORDS.findall(text.casefold() if text.isascii() else unify(text)[0]) if text else []
             if len(known) > KEPT:
                 known.clear()
             array = np.fromiter(map(known.__getitem__, found), dtype=np.int32, count=len(found))
@@ -120,9 +120,14 @@ def most_edits(length: int) -> int:
     return int(length * TOLERANCE / (1 - TOLERANCE) + 1e-9)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def counter_ids(words: pd.Series) -> pd.Series:
-    return pd.Series([shingles(w) & (COUNTERS - 1) for w in words], index=words.index)
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The counters of a partition's texts, (i, v)."""
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        if len(batch):
+            counts += np.bincount(np.concatenate([shingles(w) for w in batch["words"]]) & (COUNTERS - 1), minlength=COUNTERS)
+    i = np.flatnonzero(counts)
+    yield pd.DataFrame({"i": i.astype(np.int32), "v": counts[i]})
 
 
 def _gathered(cells: DataFrame, size: int) -> np.ndarray:
@@ -136,7 +141,7 @@ def _gathered(cells: DataFrame, size: int) -> np.ndarray:
 
 def shingle_counters(hashed: DataFrame) -> np.ndarray:
     """How many records hold a shingle of each counter; the result has COUNTERS numbers, whatever the input."""
-    held = hashed.select(F.explode(counter_ids("words")).alias("i")).groupBy("i").agg(F.count("*").alias("v"))
+    held = hashed.select("words").mapInPandas(_counted, "i int, v bigint").groupBy("i").agg(F.sum("v").alias("v"))
     return _gathered(held, COUNTERS).astype(np.int32)
 
 
