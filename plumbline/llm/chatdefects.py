@@ -205,6 +205,8 @@ def defective_pairs(records: DataFrame) -> DataFrame:
     pairs = message_pairs(records)
     answer = F.col("answer")
     json = F.coalesce(answer.rlike(r"^[\s\p{Z}\p{Cf}]*(?:```\w*\s*)?(?:[{]|```|\[[\s\p{Z}]*[{\]])"), F.lit(False))
+    # an answer that closes its JSON and goes on is prose
+    json = json & (answer.rlike(r"[}\]`][\s\p{Z}\p{Cf}]*$") | open_json(answer))
     kinds = pairs.withColumn("json", json).withColumn("empty", is_placeholder(answer))
     model = fit_closing(kinds.where("not json and not empty").select("answer"), "answer")
     looked = kinds.withColumn("prose", F.when(~F.col("json") & ~F.col("empty"), answer))

@@ -25,6 +25,8 @@ from plumbline.session import cut, table
 TRAIN_ROWS = 24_000
 #: Partitions of the (bounded) rows of the fit; each iteration sends one gradient from each.
 FIT_PARTITIONS = 4
+#: Probability of the first fit from which a label without a stop counts as a cut sentence.
+SURELY_CUT = 0.75
 #: Size of the hashed feature space.
 FEATURES = 1 << 15
 #: Lengths that are kept as field limits.
@@ -46,8 +48,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-#: A text in which a sentence ends before the last one.
-_SEVERAL = r"(?s)[.!?。！？…\n]\s+\S|[。！？…\n]\s*[^\s…]"
+#: A text in which a sentence ends before the last one; a point behind a short opening word is an abbreviation's.
+_SEVERAL = r"(?s)(?<!^\p{L}{1,4}|, \p{L}{1,4})[.!?]\s+\S|[。！？…\n]\s*[^\s…]"
 #: Blanks that don't count at the end of a text.
 BLANKS_BEHIND = " \n\t\r\u00a0\u3000\u200b\ufeff"
 #: Closing characters that the features look at (the end is folded, not the whole text).
@@ -67,7 +69,7 @@ def _closing(text: Column) -> Column:
         kind = F.when(last.isin(".", "。", "!", "?"), "stop")
         for name, pattern in (("comma", "[,;:、]"), ("open", r"[(\[{“‘«<]"), ("close", r"[)\]}”’»>\"']"), ("digit", _DIGIT), ("lost", "�"), ("han", r"\p{IsHan}"), ("letter", r"\p{L}")):
             kind = kind.when(last.rlike(pattern), name)
-        segment = F.element_at(F.filter(F.concat(F.array(F.lit("")), F.split(body, r"(?<=[.!?])\s+|(?<=。)|\n|……|(?<=…)\s*")), lambda x: (F.trim(x) != "") | (x == "")), -1)
+        segment = F.element_at(F.filter(F.concat(F.array(F.lit("")), F.split(body, r"(?<=[.!?])(?<!^\p{L}{1,4}\.|, \p{L}{1,4}\.)\s+|(?<=。)|\n|……|(?<=…)\s*")), lambda x: (F.trim(x) != "") | (x == "")), -1)
         segment = F.regexp_replace(segment, r"^\s*(?:[-*•]\s+)?", "")
         words = F.regexp_extract_all(segment, F.lit(r"(\p{IsHan}|[^\s\p{IsHan}]+)"), F.lit(1))
         return F.struct(mark.alias("mark"), body.alias("body"), words.alias("words"), F.when(mark != "", "mark").otherwise(kind.otherwise("sign")).alias("end"), (~text.rlike(_SEVERAL)).alias("whole"), F.substring_index(text, "\n", -1).rlike(r"^\s*[-*•]\s").alias("item"))
@@ -171,13 +173,17 @@ def fit_closing(frame: DataFrame, text: str, train_rows: int = TRAIN_ROWS) -> Cl
 
     intact = cut(sample.select("text", _let(_closing(text), judged).alias("kind"))).where("kind is not null")
     positives = _cut_values(intact.where("kind <> 'numbered'").select("text"), limits)
-    examples = intact.select("text", F.lit(0.0).alias("label")).unionByName(positives)
-    featured = cut(closing_features(examples, "text", limits).select("label", "features").repartition(FIT_PARTITIONS))
+    examples = intact.select("text", "kind", F.lit(0.0).alias("label")).unionByName(positives.withColumn("kind", F.lit("cut")))
+    featured = cut(closing_features(examples, "text", limits).select("label", "kind", "features").repartition(FIT_PARTITIONS))
     if featured.agg(F.countDistinct("label")).first()[0] < 2:
         return ClosingModel(None, limits)
     hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="features", outputCol="vector").transform(featured)
-    model = LogisticRegression(featuresCol="vector", labelCol="label", regParam=0.00001, elasticNetParam=0.0, maxIter=60, standardization=False).fit(hashed.select("label", "vector"))
-    return ClosingModel(model, limits)
+    fit = LogisticRegression(featuresCol="vector", labelCol="label", elasticNetParam=0.0, standardization=False)
+    # some labels without a stop are cut sentences; a strongly regularised first fit tells which, the second does without
+    first = fit.setParams(regParam=0.0005, maxIter=25).fit(hashed)
+    told = first.transform(hashed).withColumn("p", vector_to_array("probability")[1])
+    kept = told.where((F.col("kind") != "label") | (F.col("p") < SURELY_CUT)).select("label", "vector")
+    return ClosingModel(fit.setParams(regParam=0.00005, maxIter=50).fit(kept), limits)
 
 
 def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
