@@ -104,6 +104,13 @@ def automaton():
                 continue
             if len(rare) == 1 and rare not in found and not rare.isascii():
                 found.add_word(rare, (1, None))
+    for c in [*map(chr, range(0xA1, 0x100)), *"ΩμΔβαπσ"]:  # two-byte UTF-8 as a pair of half-width kana
+        try:
+            kana = c.encode().decode("cp932")
+        except UnicodeError:
+            continue
+        if len(kana) == 2 and kana not in found:
+            found.add_word(kana, (2, c))
     found.add_word("锟斤拷", (3, None))
     found.make_automaton()
     return found
@@ -201,8 +208,12 @@ def _decoded_run(run: str) -> str | None:
 
 def _decoded_latin(run: str) -> str | None:
     """The original of a run of Latin-1 characters that were bytes of a double-byte or Cyrillic encoding, or None."""
-    if (data := _raw(run, "cp1252")) and data.decode("utf-8", "replace").count("�") <= 0.2 * len(data) / 2:
-        return None  # UTF-8: the automaton's
+    if data := _raw(run, "cp1252"):
+        lost = (text := data.decode("utf-8", "replace")).count("�")
+        if not lost:
+            return text
+        if lost <= 0.2 * len(data) / 2:
+            return None  # broken UTF-8: the automaton's
     for right, wrong in WIDE_PAIRS:
         data = _raw(run, wrong)
         if data is None:
@@ -225,8 +236,9 @@ def _decoded_latin(run: str) -> str | None:
     return None
 
 
-def damage(text: str, depth: int = 3) -> tuple[bool, str | None]:
-    """Whether ``text`` shows a wrong decoding, and the original if all of it can be recovered (``depth`` times over)."""
+def damage(text: str, depth: int = 3, whole: bool = True) -> tuple[bool, str | None]:
+    """Whether ``text`` shows a wrong decoding, and the original if all of it can be recovered (``depth`` times
+    over, and by decoding the ``whole`` text anew where a span has no original of its own)."""
     if text.isascii():
         return False, None
     p = _patterns()
@@ -286,14 +298,14 @@ def damage(text: str, depth: int = 3) -> tuple[bool, str | None]:
         return False, None
     spans.sort()
     if any(original is None for _, _, original in spans):
-        return True, _whole(text)
+        return True, _whole(text) if whole else None
     out, at = [], 0
     for start, end, original in spans:
         out += [text[at:start], original]
         at = end
     original = "".join([*out, text[at:]])
     if depth > 1 and original != text:
-        again, better = damage(original, depth - 1)
+        again, better = damage(original, depth - 1, whole)
         if again:
             return True, better
     return True, original
@@ -301,7 +313,7 @@ def damage(text: str, depth: int = 3) -> tuple[bool, str | None]:
 
 def _whole(text: str) -> str | None:
     """The original of a text that was wrongly decoded as a whole, or None."""
-    for right, wrong in (*(("utf-8", w) for w in (*WRONG_FOR_UTF8, *WRONG_WIDE)), *CYRILLIC_PAIRS, *WIDE_PAIRS, *ONE_TO_ONE):
+    for right, wrong in (*(("utf-8", w) for w in (*WRONG_FOR_UTF8, *WRONG_WIDE)), *ONE_TO_ONE, *CYRILLIC_PAIRS, *WIDE_PAIRS):
         data = _raw(text, wrong)
         if not data:
             continue
@@ -310,7 +322,7 @@ def _whole(text: str) -> str | None:
         except UnicodeError:
             continue
         odd = sum(not (c.isascii() or c in ACCENTED or c in RIGHT_INSIDE or "А" <= c <= "ё" or c in _common_han() or c in "，。：（）；、“”„«»") for c in original)
-        if odd <= 0.02 * len(original) and not re.search("[а-яё][А-ЯЁ]{2}", original):
+        if odd <= 0.02 * len(original) and not damage(original, 1, False)[0]:
             return original
     return None
 
