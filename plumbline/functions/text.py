@@ -49,7 +49,7 @@ def lexical_tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The sentences of a text, trimmed, without blank ones."""
-    return F.filter(F.transform(F.split(text, r"[。！？；\n]+|\. "), trimmed), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"[。！？；\n]+"), trimmed), lambda s: s != "")
 
 
 def case_label(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +27,17 @@ def budgeted(frame: DataFrame, prompt: str, answer: str, budget: int) -> DataFra
 
 
 def weighted_draws(frame: DataFrame, key: str, weights: DataFrame, name: str, weight: str, seed: int = 17) -> DataFrame:
-    """``frame`` with a column drawn from ``weights`` (a small table, at most 1000 rows) with replacement.
+    """``frame`` with a column drawn from ``weights`` with replacement; weights that aren't positive are never drawn.
 
+    The weights, one row a source, become one array of their running shares; a row takes the first that lies above its draw.
     The draw is a hash of the key, so it is the same whatever the partitioning.
     """
-    rows = [(r[name], float(r[weight])) for r in weights.where(F.col(weight) > 0).orderBy(name).limit(1000).collect()]
+    rows = [(r[name], float(r[weight])) for r in weights.where(F.col(weight) > 0).orderBy(name).collect()]
     if not rows:
         return frame.withColumn(name, F.lit(None).cast("string"))
-    total, passed = sum(w for _, w in rows), 0.0
+    total = sum(w for _, w in rows)
+    shares = [min(1.0, s / total) for s in accumulate(w for _, w in rows)]
+    shares[-1] = 1.0
+    table = F.array(*[F.struct(F.lit(s).alias("share"), F.lit(source).alias("name")) for (source, _), s in zip(rows, shares)])
     at = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
-    drawn = None
-    for source, w in rows[:-1]:
-        passed += w / total
-        drawn = F.when(at < passed, source) if drawn is None else drawn.when(at < passed, source)
-    last = F.lit(rows[-1][0])
-    return frame.withColumn(name, last if drawn is None else drawn.otherwise(last))
+    return frame.withColumn(name, F.filter(table, lambda t: t["share"] > at)[0]["name"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -17,14 +18,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder for reliable checkpoints.
 
-    A cluster names a shared one in ``spark.checkpoint.dir``; only a session without it (tests) gets a temporary one.
+    A cluster names a shared one in ``spark.checkpoint.dir``. Where none is named, only a session whose driver and tasks
+    are one machine (``local``) gets a folder of its own; any other raises, since its executors would not see it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if folder is None:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    elif context._jsc.sc().getCheckpointDir().isEmpty():
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 

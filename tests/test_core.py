@@ -84,6 +84,10 @@ def test_sampling(spark):
     weights = spark.createDataFrame([("p", 3.0), ("q", 1.0), ("r", 0.0)], "name string, w double")
     share = weighted_draws(spark.range(20000), "id", weights, "name", "w").groupBy("name").count().collect()
     assert {r.name for r in share} == {"p", "q"} and abs({r.name: r["count"] for r in share}["p"] / 20000 - 0.75) < 0.02
+    many = spark.createDataFrame([(f"s{i:04d}", 1.0) for i in range(1001)], "name string, w double")
+    drawn = weighted_draws(spark.range(50000), "id", many, "name", "w")
+    assert drawn.where("name is null").count() == 0 and drawn.select("name").distinct().count() == 1001
+    assert weighted_draws(spark.range(3), "id", weights.where("w < 0"), "name", "w").where("name is null").count() == 3
 
 
 def test_jsonl_source(spark, tmp_path):
