@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +27,11 @@ def budgeted(frame: DataFrame, prompt: str, answer: str, budget: int) -> DataFra
     return rows.select("record_id", kept.alias("prompt_words"), a.alias("answer_words"), F.greatest(p - (budget - a), F.lit(0)).alias("cut_words"), kept.alias("masked"))
 
 
+def literal_table(rows: list[dict], fields: str) -> Column:
+    """A constant array of structs; one literal, whatever the number of rows."""
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<struct<{', '.join(f.strip().replace(' ', ':') for f in fields.split(','))}>>")
+
+
 def weighted_draws(frame: DataFrame, key: str, weights: DataFrame, name: str, weight: str, seed: int = 17) -> DataFrame:
     """``frame`` with a column drawn from ``weights`` with replacement; weights that aren't positive are never drawn.
 
@@ -38,6 +44,6 @@ def weighted_draws(frame: DataFrame, key: str, weights: DataFrame, name: str, we
     total = sum(w for _, w in rows)
     shares = [min(1.0, s / total) for s in accumulate(w for _, w in rows)]
     shares[-1] = 1.0
-    table = F.array(*[F.struct(F.lit(s).alias("share"), F.lit(source).alias("name")) for (source, _), s in zip(rows, shares)])
+    table = literal_table([{"share": s, "name": source} for (source, _), s in zip(rows, shares)], "share double, name string")
     at = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
     return frame.withColumn(name, F.filter(table, lambda t: t["share"] > at)[0]["name"])
