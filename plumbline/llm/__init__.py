@@ -15,7 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         truncation.p2_found, truncation.p2_rates,
         chatdefects.p3_found, chatdefects.p3_sources,
         overlap.p4_found, overlap.p4_counts,
-        grouped_split.p5_found, grouped_split.p5_splits, grouped_split.p5_shares,
+        grouped_split.p5_found, grouped_split.p5_splits, grouped_split.p5_shares, grouped_split.p5_torn,
         canonical_values.p6_found, canonical_values.p6_unmatched,
         tokenise.p7_ids, tokenise.p7_round_trip,
         mixing.p8_mixture, mixing.p8_shares,
@@ -25,6 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from plumbline.llm.grouped_split import P5_FOUND_SQL
+    from plumbline.llm import grouped_split
 
-    return {"p5_found": P5_FOUND_SQL}
+    return {"p5_found": grouped_split.P5_FOUND_SQL, "p5_splits": grouped_split.P5_SPLITS_SQL, "p5_shares": grouped_split.P5_SHARES_SQL, "p5_torn": grouped_split.P5_TORN_SQL}

@@ -50,23 +50,50 @@ def test_against_union_find(spark):
     groups = g.record_groups(frame, reg)
     assert {x.record_id: x.group_case for x in groups.where("group_case is not null").collect()} == want
     targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, target_share double")
-    split = g.assign_splits(groups, targets).collect()
+    split = g.assign_splits(g.split_groups(frame, reg), targets).collect()
     assert len(split) == len(records) and all(x.split in ("train", "validation", "test") for x in split)
     by_group = defaultdict(set)
     for x in split:
         by_group[x.split_group].add(x.split)
     assert all(len(v) == 1 for v in by_group.values())
+    places = {x.record_id: x.split for x in split}
+    ties = defaultdict(set)
+    for i, n in named.items():
+        ties[least[find(n)]].add(places[i])
+    assert all(len(v) == 1 for v in ties.values())
+
+
+def test_shared_sample_ids_stay_together(spark):
+    """A sample_id ties a record with a case to one without, whatever its spelling."""
+    rows = []
+    for i in range(50):
+        rows += [(3 * i, (f"abc-{i}", None, None, f"EXT-{i}", None)), (3 * i + 1, (f" ABC-{i}", None, None, None, None)), (3 * i + 2, (f"abc-{i}", None, None, f"EXT-{i + 1000}", None))]
+    rows += [(900, (None, None, None, None, None)), (901, ("unknown", None, None, None, None)), (902, ("unknown", None, None, None, None))]
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, target_share double")
+    split = g.assign_splits(g.split_groups(spark.createDataFrame(rows, META), spark.createDataFrame([], REGISTRY)), targets).collect()
+    groups = {x.record_id: x.split_group for x in split}
+    assert len(groups) == len(rows) and len({x.split for x in split}) == 2
+    assert all(groups[3 * i] == groups[3 * i + 1] == groups[3 * i + 2] == f"g{i}" for i in range(50))
+    assert {groups[900], groups[901], groups[902]} == {"r900", "r901", "r902"}
 
 
 def test_long_chain_and_empty(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a bigint, b bigint")
     assert {r.component for r in g.hash_to_min(chain).collect()} == {0}
+    star = spark.createDataFrame([(7, i) for i in range(8, 400)] + [(1000, 1001)], "a bigint, b bigint")
+    got = {r.node: r.component for r in g.hash_to_min(star, large_cluster=50).collect()}
+    assert got == {**{i: 7 for i in range(7, 400)}, 1000: 1000, 1001: 1000}
     empty = g.record_groups(spark.createDataFrame([], META), spark.createDataFrame([], REGISTRY))
     assert empty.count() == 0
 
 
 def test_rendezvous_shares(spark):
-    groups = spark.createDataFrame([(i, None, i) for i in range(20000)], "record_id bigint, sample_id string, group_case bigint")
-    targets = spark.createDataFrame([("a", 0.7), ("b", 0.3)], "split_name string, target_share double")
-    share = g.assign_splits(groups, targets).where("split = 'a'").count() / 20000
-    assert abs(share - 0.7) < 0.02
+    from pyspark.sql import functions as F
+
+    groups = spark.range(20000).select(F.concat(F.lit("g"), "id").alias("split_group"))
+    targets = spark.createDataFrame([("a", 0.7), ("b", 0.3), ("c", 0.0)], "split_name string, target_share double")
+    share = g.assign_splits(groups, targets)
+    assert abs(share.where("split = 'a'").count() / 20000 - 0.7) < 0.02 and share.where("split = 'c'").count() == 0
+    many = spark.createDataFrame([(f"s{i}", 1 / 1001) for i in range(1001)], "split_name string, target_share double")
+    assert g.assign_splits(groups, many).select("split").distinct().count() == 1001
+    assert g.assign_splits(groups, targets.where("target_share < 0")).where("split is null").count() == 20000
