@@ -79,6 +79,28 @@ def edge_id(subject: Column, predicate: Column, target: Column) -> Column:
     return F.concat(F.lit("e-"), F.substring(F.sha2(F.concat_ws("|", blank(subject), blank(predicate), blank(target)), 256), 1, 12))
 
 
-def message_content(messages: Column, role: str) -> Column:
-    """The content of the first message of a role (letter case and outer blanks don't count), or null."""
-    return F.try_element_at(F.filter(messages, lambda m: F.lower(F.trim(m["role"])) == role), F.lit(1))["content"]
+# Spellings of the roles of a message.
+ASKING = ("user", "human", "prompter", "question", "customer")
+ANSWERING = ("assistant", "model", "bot", "gpt", "answer", "ai")
+
+
+def role(spelt: Column) -> Column:
+    """``user``, ``assistant`` or whatever else a message's role means: letter case and white space don't count; null stays
+    null."""
+    plain = metric_key(F.regexp_replace(spelt, r"[\x{200b}\x{feff}]", ""))
+    return F.when(plain.isin(*ASKING), "user").when(plain.isin(*ANSWERING), "assistant").otherwise(plain)
+
+
+def message_content(messages: Column, wanted: str) -> Column:
+    """The content of the first message of a role (in any of its spellings), or null."""
+    return F.try_element_at(F.filter(messages, lambda m: role(m["role"]) == wanted), F.lit(1))["content"]
+
+
+def question_answers(messages: Column) -> Column:
+    """array<struct<pos, asked, answer>>: every user message (0-based place) with the answer directly behind it, if there is
+    one."""
+    n = F.size(messages)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    at = lambda i: F.get(messages, i)
+    asked = F.filter(places, lambda i: role(at(i)["role"]) == "user")
+    return F.transform(asked, lambda i: F.struct(i.cast("bigint").alias("pos"), at(i)["content"].alias("asked"), F.when(role(at(i + 1)["role"]) == "assistant", at(i + 1)["content"]).alias("answer")))
