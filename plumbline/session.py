@@ -38,6 +38,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out evenly over the cores, if it has fewer partitions than there are cores; a large table has more and
+    is left as it is, without any shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 _shipped: set[str] = set()
 
 
