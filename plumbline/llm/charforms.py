@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import table
+from plumbline.session import spread, table
 
 # The default-ignorable code points of the Unicode standard.
 IGNORABLE_RANGES = (
@@ -189,8 +189,8 @@ def _fold_table() -> tuple[str, str]:
 
 
 def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = odd_values(table(spark, sf_dir, "graph_claims"), "claim_row", ["subject", "object"], "graph_claims")
-    return claims.unionByName(odd_values(table(spark, sf_dir, "evidence_refs"), "evidence_row", ["excerpt"], "evidence_refs"))
+    claims = odd_values(spread(table(spark, sf_dir, "graph_claims").select("claim_row", "subject", "object")), "claim_row", ["subject", "object"], "graph_claims")
+    return claims.unionByName(odd_values(spread(table(spark, sf_dir, "evidence_refs").select("evidence_row", "excerpt")), "evidence_row", ["excerpt"], "evidence_refs"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

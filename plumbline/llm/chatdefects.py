@@ -15,23 +15,19 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.text import question_answers
 from plumbline.llm.charforms import unify
 from plumbline.llm.truncation import fit_closing
-from plumbline.session import table
+from plumbline.session import spread, table
 
-# Spellings of the two roles of a pair.
-ASKING = ("user", "human", "prompter", "question", "customer")
-ANSWERING = ("assistant", "model", "bot", "gpt", "answer", "ai")
 # What stands for a missing answer, without brackets, blanks and points around it.
 PLACEHOLDERS = ("", "n/a", "na", "null", "none", "nil", "todo", "tbd", "empty", "no answer", "no response", "no content", "missing", "placeholder", "undefined", "nan", "暂无", "待补充", "无回答", "leer", "vide", "vacío", "пусто")
 #: A compressed answer of at most this size, plus a share of its own length, is looked at as a copy.
 NOVEL_BYTES, NOVEL_SHARE = 48, 0.25
-#: Longest lead-in before a copy, in letters and digits.
-LEAD_IN = 40
 
 # Words that only one of the languages has among its most frequent ones.
 FUNCTION_WORDS = {
@@ -40,16 +36,52 @@ FUNCTION_WORDS = {
     "fr": "le les une du et été sur pour avec au dans pas par avant après sans ce cette qui est sont aux sous d'un d'une l'examen encore peut".split(),
     "es": "el los las del por con se que y fue está hasta desde cuando después antes lo una para sin aún este esta puede al".split(),
 }
-WORD_LANGUAGE = {w: k for k, words in FUNCTION_WORDS.items() for w in words}
-# How the languages are named in the six languages.
+# The like of further languages, by which an answer can be told from one in the languages above.
+FURTHER_WORDS = {
+    "it": "che della sono nel alla gli dei delle questo più è stato stata dopo dal nella anche perché non il".split(),
+    "pt": "não uma foi são dos pelo pela ao mais já também após até você com na da em os um".split(),
+    "nl": "het een niet zijn voor werd deze naar ook maar wordt aan".split(),
+    "sv": "och att inte är som för av efter från ett även kan".split(),
+    "da": "og ikke er blev fra til være efter også af på".split(),
+    "pl": "nie się jest że po do przez została został oraz był dla jak".split(),
+    "cs": "že je byl byla při nebo jsou pro bylo není také".split(),
+    "tr": "ve bir bu için ile olarak değil sonra çok daha".split(),
+    "fi": "ja ei oli että sekä myös mutta jälkeen ovat".split(),
+    "hu": "és egy nem hogy az volt után meg csak".split(),
+    "ro": "și nu este pentru din după cu fost sunt mai".split(),
+    "id": "yang dan tidak dengan untuk pada dari ini adalah telah".split(),
+    "vi": "và của là không được cho với một những đã".split(),
+}
+
+
+def _by_word(*tables: dict[str, list[str]]) -> dict[str, tuple[str, ...]]:
+    found: dict[str, tuple[str, ...]] = {}
+    for table in tables:
+        for language, words in table.items():
+            for w in words:
+                found[w] = (*found.get(w, ()), language)
+    return found
+
+
+WORD_LANGUAGES = _by_word(FUNCTION_WORDS, FURTHER_WORDS)
+#: Languages told by function words; those of the first table win a draw.
+SPELT = (*FUNCTION_WORDS, *FURTHER_WORDS)
+# The ranges of the scripts that tell a language, and how many letters count as much as its use.
+SCRIPTS = {"zh": ("㐀-鿿", 8), "ru": ("Ѐ-ӿ", 12), "ja": ("ぁ-ヺ", 6), "ko": ("가-힣", 6), "ar": ("؀-ۿ", 12), "he": ("א-ת", 12), "el": ("Ͱ-Ͽ", 12), "hi": ("ऀ-ॿ", 12), "th": ("ก-๙", 12)}
+_SCRIPT = {k: (re.compile(f"[{letters}]"), least) for k, (letters, least) in SCRIPTS.items()}
+_ANY_SCRIPT = re.compile("[" + "".join(letters for letters, _ in SCRIPTS.values()) + "]")
+# How the languages are named, in themselves and in the six languages of the corpus.
 LANGUAGE_NAMES = {
     "zh": "chinese|mandarin|中文|汉语|chinesisch|chinois|chino|китайск", "en": "english|英文|英语|englisch|anglais|inglés|ingles|английск",
     "de": "german|德文|德语|deutsch|allemand|alemán|aleman|немецк", "fr": "french|法文|法语|französisch|français|francais|francés|frances|французск",
     "es": "spanish|西班牙|spanisch|espagnol|español|espanol|испанск", "ru": "russian|俄文|俄语|russisch|russe|ruso|русск",
+    "it": "italian|意大利|italienisch|итальянск", "pt": "portugu|葡萄牙|португальск", "nl": "dutch|nederlands|niederländisch|荷兰|нидерландск", "sv": "swedish|svensk|schwedisch|шведск", "da": "danish|dansk|dänisch|датск",
+    "pl": "polish|polski|polnisch|польск", "cs": "czech|česk|tschechisch|чешск", "tr": "turkish|türk|турецк", "fi": "finnish|suomi|finnisch|финск", "hu": "hungarian|magyar|ungarisch|венгерск", "ro": "romanian|român|rumänisch|румынск",
+    "id": "indonesian|indonesia|indonesisch|印尼", "vi": "vietnam|việt|越南|вьетнамск", "ja": "japan|日本|日文|日语|японск", "ko": "korea|한국|韩文|韩语|корейск", "ar": "arab|عرب|阿拉伯|арабск", "he": "hebrew|עברית|hebräisch", "el": "greek|ελληνικ|griechisch|греческ",
+    "hi": "hindi|हिन्दी", "th": "\\bthai|ไทย|泰文",
 }
 _NAMED = {k: re.compile(v) for k, v in LANGUAGE_NAMES.items()}
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_HAN, _CYRILLIC = re.compile("[㐀-鿿]"), re.compile("[Ѐ-ӿ]")
 
 # The refusal dictionary. A sentence refuses if it holds one of the phrases and speaks of the speaker.
 REFUSING = re.compile(
@@ -63,10 +95,20 @@ REFUSING = re.compile(
         r"не могу (?:\w+ )?(?:помочь|ответить|отвечать|обсуждать|предоставить|выполнить)|вынужден\w* отказ|не имею права|мне (?:запрещено|не разрешено)|отказываюсь",
     ])
 )
-_SPEAKER = re.compile(r"\b(?:i|i'm|me|my|ich|mir|puedo|me|debo|estoy|je|m'est|мне|не могу|вынужден\w*|имею|отказываюсь)\b|kann ich|我|恕|不便")
+# What is declined, for the verbs that also have other objects.
+DECLINED = re.compile(
+    r"(?:can ?not|can't|won't|will not|unable to|not able to|not going to|could not|couldn't)(?: \w+)? (?:share|disclose|reveal|talk about|speak (?:about|to)|engage|support|offer|fulfil+|continue|do (?:that|this|so)|go into|take (?:part|on)|write|create|generate|tell you|say more|give (?:you )?(?:an? )?(?:answer|advice|information))|"
+    r"(?:would|i'd) rather not|prefer not to|\brefuse to|\bi (?:must|have to|need to) refuse|not comfortable|not in a position|(?:do not|don't) have (?:access|permission|authori[sz]ation)|against (?:my|our) (?:rules|polic|guidelines)|not something (?:that )?i|my (?:rules|polic\w+|guidelines|instructions) (?:do not|don't|forbid|prevent)|"
+    r"weigere mich|lehne (?:ich )?(?:\w+ ){0,3}ab\b|möchte (?:ich )?(?:\w+ ){0,3}nicht|keinen zugriff|"
+    r"refuse de (?:répondre|traiter)|préfère ne pas|n'ai pas accès|ne souhaite pas|"
+    r"me niego a|prefiero no|no tengo acceso|no quiero (?:responder|hablar)|"
+    r"non posso (?:aiutar|risponder|fornir|condivider)|preferisco non|mi rifiuto|não posso (?:ajudar|responder|fornecer|compartilhar)|prefiro não|recuso|ik kan (?:\w+ ){0,3}niet (?:helpen|beantwoorden)|"
+    r"нет доступа|предпоч\w+ не|не буду (?:отвечать|обсуждать)|我拒绝|拒绝讨论|我没有(?:权限|访问)|不愿意?(?:回答|讨论)"
+)
+_SPEAKER = re.compile(r"\b(?:io|eu|posso|ik|mi|mij|my|i'd|mich|me|je|n'ai|i|i'm|me|my|ich|mir|puedo|me|debo|estoy|je|m'est|мне|не могу|вынужден\w*|имею|отказываюсь)\b|kann ich|我|恕|不便")
 _EVIDENCE = re.compile(r"evidence|record|\blines?\b|\bnotes?\b|beleg|protokoll|preuve|dossier|prueba|registro|证据|材料|记录|доказательств|журнал")
 _FILLER = re.compile(
-    r"sorry|apolog|unfortunately|regret|as an assistant|as an ai|thanks for|thank you|please contact|try another|something else|qualified|entschuldig|leider|tut mir leid|bitte wenden|fachperson|fachmann|andere frage|désolé|malheureusement|veuillez|"
+    r"sorry|apolog|dispiace|desculp|helaas|spijt|unfortunately|regret|as an assistant|as an ai|thanks for|thank you|please contact|try another|something else|qualified|entschuldig|leider|tut mir leid|bitte wenden|fachperson|fachmann|andere frage|désolé|malheureusement|veuillez|"
     r"spécialiste|autre question|lo siento|lamentablemente|disculp|consulte|especialista|otra pregunta|抱歉|对不起|作为助手|请咨询|请换|专业人员|换一个|к сожалению|извините|обратитесь|другой вопрос"
 )
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
@@ -78,7 +120,7 @@ def is_refusal(answer: str) -> bool:
     for sentence in _SENTENCES.split(answer):
         if not sentence.strip(" .。!?"):
             continue
-        if REFUSING.search(sentence) and _SPEAKER.search(sentence) and not _EVIDENCE.search(sentence):
+        if (REFUSING.search(sentence) or DECLINED.search(sentence)) and _SPEAKER.search(sentence) and not _EVIDENCE.search(sentence):
             refused = True
         elif not _FILLER.search(sentence):
             return False
@@ -86,13 +128,16 @@ def is_refusal(answer: str) -> bool:
 
 
 def _counts(text: str) -> dict[str, int]:
-    counts = dict.fromkeys(("zh", "ru", "en", "de", "fr", "es"), 0)
-    counts["zh"], counts["ru"] = len(_HAN.findall(text)), len(_CYRILLIC.findall(text))
-    find = WORD_LANGUAGE.get
+    """How many letters of each telling script and how many function words of each language a text (unified) holds."""
+    counts = dict.fromkeys((*SCRIPTS, *SPELT), 0)
+    if _ANY_SCRIPT.search(text):
+        for language, (letters, _) in _SCRIPT.items():
+            counts[language] = len(letters.findall(text))
+        if counts["ja"] >= _SCRIPT["ja"][1]:
+            counts["ja"], counts["zh"] = counts["ja"] + counts["zh"], 0
+    find = WORD_LANGUAGES.get
     for w in _LETTERS.findall(text):
-        if k := find(w):
-            counts[k] += 1
-        elif "'" in w and (k := find(w.split("'")[1])):
+        for k in find(w) or ("'" in w and find(w.split("'")[1])) or ():
             counts[k] += 1
     return counts
 
@@ -100,47 +145,59 @@ def _counts(text: str) -> dict[str, int]:
 def prose_language(text: str) -> str | None:
     """The language of prose, or None where too little speaks for one."""
     c = _counts(text)
-    latin = sum(c[k] for k in ("en", "de", "fr", "es"))
-    if c["zh"] >= 8 and c["zh"] > 3 * latin:
-        return "zh"
-    if c["ru"] >= 12 and c["ru"] > 3 * latin:
-        return "ru"
-    first, second = sorted(("en", "de", "fr", "es"), key=lambda k: -c[k])[:2]
-    return first if c[first] >= 2 and c[first] >= 2 * c[second] else None
+    latin = sum(c[k] for k in FUNCTION_WORDS)
+    for language, (_, least) in _SCRIPT.items():
+        if c[language] >= least and c[language] > 3 * latin:
+            return language
+    ranked = sorted(SPELT, key=lambda k: -c[k])
+    first, second = ranked[0], ranked[1]
+    return first if c[first] >= (2 if first in FUNCTION_WORDS else 3) and c[first] >= 2 * c[second] else None
 
 
 def user_languages(text: str) -> set[str]:
     """The languages that a message uses or asks for."""
     c = _counts(text)
-    top = max(c[k] for k in ("en", "de", "fr", "es"))
-    used = {k for k in ("en", "de", "fr", "es") if c[k] >= 3 and c[k] >= 0.3 * top or 0 < c[k] == top}
-    used |= {"zh"} if c["zh"] >= 4 else set()
-    used |= {"ru"} if c["ru"] >= 8 else set()
+    top = max(c[k] for k in SPELT)
+    used = {k for k in SPELT if c[k] >= 3 and c[k] >= 0.3 * top or 0 < c[k] == top}
+    used |= {k for k, (_, least) in _SCRIPT.items() if c[k] >= least // 2 + (k == "ru") * 2}
     return used | {k for k, p in _NAMED.items() if p.search(text)}
 
 
 _KEPT = re.compile(r"[^\W_]+")
+#: A lead-in says nothing of its own: one clause up to a colon.
+_LEAD_IN = re.compile(r"[^.!?。！？:：\n]*[:：]")
+_OWN_WORDS = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 
 
 def _squeezed(text: str) -> str:
     return "".join(_KEPT.findall(text))
 
 
+def _questions(user: str) -> list[str]:
+    """What a message asks, line by line and the lines' first sentences: three words at least, or a question mark. Lines of
+    evidence ask nothing."""
+    found = []
+    for line in user.split("\n"):
+        if line.strip() and not line.lstrip("> ").startswith("["):
+            for part in {line, *re.split(r"(?<=[?？。.])\s*", line)[:1]}:
+                if "?" in part or "？" in part or len(_OWN_WORDS.findall(part)) >= 3:
+                    found.append(_squeezed(part))
+    return sorted(filter(None, found), key=len, reverse=True)
+
+
 def gives_back(answer: str, user: str) -> bool:
-    """Exact look: ``answer`` is the question or the message, perhaps again, after at most a short lead-in."""
+    """Exact look: ``answer`` is the question or the message, perhaps again, perhaps behind a lead-in; or nothing but four
+    fifths of the message or more."""
     a, u = _squeezed(answer), _squeezed(user)
-    if not a:
+    if not a or not u:
         return False
-    questions = []
-    for line in user.split("\n"):
-        if line.strip() and not line.lstrip("> ").startswith("["):
-            questions.append(_squeezed(line))
-            questions += [_squeezed(x) for x in re.split(r"(?<=[?？。.])\s*", line)[:1]]
-    for whole in [u, *sorted((q for q in questions if len(q) >= 6), key=len, reverse=True)]:
-        at = a.find(whole)
-        if 0 <= at <= LEAD_IN and a[at:].replace(whole, "") == "":
-            return True
-    return len(a) >= 0.8 * len(u) and len(u) > 40 and (a in u or a[: -len(a) // 10] in u)
+    bodies = [a]
+    if lead := _LEAD_IN.match(answer):
+        bodies.append(_squeezed(answer[lead.end() :]))
+    wholes = [u, *_questions(user)]
+    if any(body and not body.replace(whole, "") for body in bodies for whole in wholes):
+        return True
+    return any(len(body) >= 0.8 * len(u) and body in u for body in bodies)
 
 
 def novel_size(answer: str, prompt: str) -> int:
@@ -154,11 +211,11 @@ def novel_size(answer: str, prompt: str) -> int:
 def spoken_defect(user: str | None, answer: str) -> str | None:
     """refusal, copy or language, or None."""
     a = unify_lines(answer)
-    if len(a) <= 600 and is_refusal(a):
+    if is_refusal(a):
         return "refusal"
     u = unify_lines(user or "")
     words, prompt = " ".join(_KEPT.findall(a)), " ".join(_KEPT.findall(u))
-    if len(prompt) >= 8 and words and novel_size(words, prompt) <= NOVEL_BYTES + NOVEL_SHARE * len(words) and gives_back(a, u):
+    if prompt and words and novel_size(words, prompt) <= NOVEL_BYTES + NOVEL_SHARE * len(words) and gives_back(a, u):
         return "copy"
     spoken = prose_language(a)
     return "language" if spoken and spoken not in user_languages(u) else None
@@ -170,26 +227,24 @@ def unify_lines(text: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def spoken_defects(users: pd.Series, answers: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None else spoken_defect(u, a) for u, a in zip(users, answers)], index=users.index, dtype=object)
+    looked: dict[tuple, str | None] = {}
+    for pair in zip(users, answers):
+        if pair not in looked:
+            looked[pair] = None if pair[1] is None else spoken_defect(*pair)
+    return pd.Series([looked[pair] for pair in zip(users, answers)], index=users.index, dtype=object)
 
 
-def message_pairs(records: DataFrame) -> DataFrame:
-    """(record_id, user_pos, user, answer): every user message with the answer directly behind it, if there is one."""
-    role = lambda m: F.lower(F.trim(F.regexp_replace(m["role"], r"\s+", "")))
-    n = F.size("messages")
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    at = lambda i: F.try_element_at("messages", i + 1)
-    asked = F.filter(places, lambda i: role(at(i)).isin(*ASKING))
-    pairs = F.transform(asked, lambda i: F.struct(i.cast("bigint").alias("user_pos"), at(i)["content"].alias("user"), F.when((i + 1 < n) & role(F.get("messages", i + 1)).isin(*ANSWERING), F.get("messages", i + 1)["content"]).alias("answer")))
-    return records.where("messages is not null").select(F.col("record_id").cast("bigint").alias("record_id"), F.explode(pairs).alias("p")).select("record_id", "p.*")
+def message_pairs(records: DataFrame, *kept: Column) -> DataFrame:
+    """(record_id, .. kept, user_pos, user, answer): every user message with the answer directly behind it, if there is one."""
+    pairs = records.select(F.col("record_id").cast("bigint").alias("record_id"), *kept, F.explode(question_answers(F.col("messages"))).alias("p"))
+    return pairs.select("*", F.col("p.pos").alias("user_pos"), F.col("p.asked").alias("user"), "p.answer").drop("p")
 
 
 def is_placeholder(answer: Column) -> Column:
     """Whether an answer is missing, blank or a placeholder; an empty JSON list or object is an answer."""
     sign = r"[\s\p{P}\p{S}\p{Cf}\p{Z}]"
     bare = F.lower(F.regexp_replace(F.regexp_replace(answer, f"^{sign}+", ""), f"{sign}+$", ""))
-    listed = (F.length(answer) <= 64) & bare.isin(*PLACEHOLDERS)
-    return answer.isNull() | (listed | answer.rlike(f"^{sign}*$")) & ~answer.rlike(r"^\s*(?:\[\s*\]|\{\s*\})\s*$")
+    return answer.isNull() | (bare.isin(*PLACEHOLDERS) | answer.rlike(f"^{sign}*$")) & ~answer.rlike(r"^\s*(?:\[\s*\]|\{\s*\})\s*$")
 
 
 def open_json(answer: Column) -> Column:
@@ -200,31 +255,38 @@ def open_json(answer: Column) -> Column:
     return rest.contains('"') | (opened > closed)
 
 
-def defective_pairs(records: DataFrame) -> DataFrame:
-    """(record_id, user_pos, defect) of every defective pair."""
-    pairs = message_pairs(records)
+def judged_pairs(records: DataFrame, *kept: Column) -> DataFrame:
+    """(record_id, .. kept, user_pos, defect) of every pair; the defect is null where there is none."""
+    pairs = message_pairs(records, *kept)
+    names = [c for c in pairs.columns if c not in ("user", "answer")]
     answer = F.col("answer")
     json = F.coalesce(answer.rlike(r"^[\s\p{Z}\p{Cf}]*(?:```\w*\s*)?(?:[{]|```|\[[\s\p{Z}]*[{\]])"), F.lit(False))
     # an answer that closes its JSON and goes on is prose
     json = json & (answer.rlike(r"[}\]`][\s\p{Z}\p{Cf}]*$") | open_json(answer))
     kinds = pairs.withColumn("json", json).withColumn("empty", is_placeholder(answer))
-    model = fit_closing(kinds.where("not json and not empty").select("answer"), "answer")
+    source = "source_name" if "source_name" in kinds.columns else None  # what field limits are told by
+    model = fit_closing(kinds.where("not json and not empty"), "answer", source)
     looked = kinds.withColumn("prose", F.when(~F.col("json") & ~F.col("empty"), answer))
     looked = looked.withColumn("spoken", spoken_defects(F.when(F.col("prose").isNotNull(), F.col("user")), "prose"))
-    scored = model.score(looked, "prose")
+    scored = model.score(looked, "prose", source)
     cut_off = F.when(F.col("json"), open_json(answer)).otherwise(F.col("cut_probability") >= 0.5)
     defect = F.when(F.col("empty"), "empty").when(F.col("spoken").isNotNull(), F.col("spoken")).when(cut_off, "truncated")
-    return scored.select("record_id", "user_pos", defect.alias("defect")).where("defect is not null")
+    return scored.select(*names, defect.alias("defect"))
+
+
+def defective_pairs(records: DataFrame) -> DataFrame:
+    """(record_id, user_pos, defect) of every defective pair."""
+    return judged_pairs(records).where("defect is not null")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defective_pairs(table(spark, sf_dir, "chat_records"))
+    judged = judged_pairs(spread(table(spark, sf_dir, "chat_records")), F.col("metadata.source_name").alias("source_name"))
+    return judged.where("defect is not null").select("record_id", "user_pos", "defect")
 
 
 def p3_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source and defect: how many pairs have it, of how many pairs of the source."""
-    records = table(spark, sf_dir, "chat_records")
-    sources = records.select(F.col("record_id").cast("bigint").alias("record_id"), F.col("metadata.source_name").alias("source_name"))
-    counted = defective_pairs(records).join(sources, "record_id").groupBy("source_name", "defect").agg(F.count("*").alias("pairs"))
-    total = message_pairs(records).join(sources, "record_id").groupBy("source_name").agg(F.count("*").alias("all_pairs"))
-    return counted.join(total, counted["source_name"].eqNullSafe(total["source_name"])).select(counted["source_name"], "defect", "pairs", "all_pairs")
+    judged = judged_pairs(spread(table(spark, sf_dir, "chat_records")), F.col("metadata.source_name").alias("source_name"))
+    counted = judged.groupBy("source_name", "defect").agg(F.count("*").alias("pairs"))
+    whole = counted.withColumn("all_pairs", F.sum("pairs").over(Window.partitionBy("source_name")))  # a few rows a source
+    return whole.where("defect is not null").select("source_name", "defect", "pairs", "all_pairs")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.tokenise import VOCABULARY, token_counts
-from plumbline.session import cut, table
+from plumbline.session import cut, spread, table
 
 #: Rows that one slice of a source holds on average.
 SLICE_ROWS = 50_000
@@ -80,7 +80,7 @@ def mixture_report(used: DataFrame, plan: DataFrame) -> DataFrame:
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
-    sized = sized_documents(spark, table(spark, sf_dir, "documents"), targets)
+    sized = sized_documents(spark, spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), targets)
     plan = mixture_plan(sized, targets)
     return mixed_documents(sized, plan), plan
 

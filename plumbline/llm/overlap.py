@@ -4,9 +4,9 @@ Records are canonicalised (user and assistant words only, character forms, lette
 out; Chinese counts by characters) and hashed. Evaluation hashes are joined with training hashes; records with equal
 hashes form one class, so copies cost nothing further. Between classes with different hashes an exact prefix filter
 finds every pair of texts that differ in at most a tenth of their words: of n words at most d can differ, each touches
-three triples of neighbouring words, so two such texts share one of their 3d+1 rarest triples. Rarity comes from a
-fixed number of hashed counters over the whole table; any order is right, a good one makes the candidate lists short.
-Training triples are joined only where a fixed-size bitmap says that an evaluation text may hold them, and a joined pair
+three triples of neighbouring words, so two such texts share one of their 3d+1 rarest triples. Rarity comes from hashed
+counters over the whole table, as many as the corpus asks for; any order is right, a good one keeps candidate lists short.
+Training triples are joined only where a bitmap says that an evaluation text may hold them, and a joined pair
 must pass two exact bounds inside the join (length, and the parities of hashed word counts, of which a changed word
 flips two) before it leaves it. What is left is verified by word-wise edit distance.
 
@@ -30,23 +30,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.text import role
 from plumbline.llm.charforms import unify
-from plumbline.session import cut, table
+from plumbline.session import cut, spread, table
 
 #: Words of a shingle; a changed word touches as many of them.
 SHINGLE = 3
-#: Hashed counters of shingles (a power of two): the whole memory that the rarity order takes.
-COUNTERS = 1 << 20
-#: Bits of the bitmap of evaluation shingles (a power of two).
-BITMAP = 1 << 23
+#: Fewest and most hashed counters of shingles (a byte each in the end); in between there is one for every eight words.
+COUNTERS = (1 << 20, 1 << 26)
+#: Counters of a block, which one task sums.
+BLOCK = 1 << 12
+#: Bits of the bitmap of evaluation shingles for each counter.
+BITS = 8
 #: Longs of the parity sketch; further ones of texts with at least so many words, whose first sketch is full.
 SKETCH, LONG_SKETCH, LONG = 3, 4, 250
-#: Candidate classes up to which their ids (8 bytes each) are broadcast.
-BROADCAST_ROWS = 100_000
 #: At most this part of the words of the longer text may differ.
 TOLERANCE = 0.1
-# Spellings of the roles that count.
-COUNTED_ROLES = ("user", "human", "assistant", "model", "bot", "gpt", "prompter", "question", "answer")
 WORDS = re.compile(r"[\u3400-\u9fff]|[^\W_\u3400-\u9fff]+")
 #: Distinct words whose hashes a worker keeps; bounds memory, changes no result.
 KEPT = 300_000
@@ -54,7 +53,7 @@ KEPT = 300_000
 
 def counted_text(messages: Column) -> Column:
     """The contents of the user and assistant messages, in order."""
-    kept = F.filter(messages, lambda m: F.lower(F.trim(m["role"])).isin(*COUNTED_ROLES) & m["content"].isNotNull())
+    kept = F.filter(messages, lambda m: role(m["role"]).isin("user", "assistant") & m["content"].isNotNull())
     return F.array_join(F.transform(kept, lambda m: m["content"]), "\n")
 
 
@@ -120,55 +119,75 @@ def most_edits(length: int) -> int:
     return int(length * TOLERANCE / (1 - TOLERANCE) + 1e-9)
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The counters of a partition's texts, (i, v)."""
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    for batch in batches:
-        if len(batch):
-            counts += np.bincount(np.concatenate([shingles(w) for w in batch["words"]]) & (COUNTERS - 1), minlength=COUNTERS)
-    i = np.flatnonzero(counts)
-    yield pd.DataFrame({"i": i.astype(np.int32), "v": counts[i]})
+def counter_number(words: int) -> int:
+    """The number of counters for a corpus of so many words, a power of two."""
+    return min(max(1 << max(0, words // 8 - 1).bit_length(), COUNTERS[0]), COUNTERS[1])
+
+
+def _counted(size: int):
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A partition's counters that aren't zero, by block: their places and how often they were met."""
+        counts = np.zeros(size, dtype=np.int32)
+        for batch in batches:
+            if len(batch):
+                np.add.at(counts, np.concatenate([shingles(w) for w in batch["words"]]) & (size - 1), 1)
+        for start in range(0, size, BLOCK):
+            part = counts[start : start + BLOCK]
+            at = np.flatnonzero(part)
+            if len(at):
+                met = part[at]
+                yield pd.DataFrame({"block": [start // BLOCK], "at": [at.astype(np.uint16).tobytes()], "met": [met.astype(np.uint8 if met.max() < 256 else np.int32).tobytes()]})
+
+    return counted
+
+
+def _levels(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sums of one block (a row a partition) on a logarithmic scale that fits a byte."""
+    total = np.zeros(BLOCK, dtype=np.int64)
+    for at, met in zip(rows["at"], rows["met"]):
+        places = np.frombuffer(at, dtype=np.uint16)
+        total[places] += np.frombuffer(met, dtype=np.uint8 if len(met) == len(places) else np.int32)
+    return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "levels": [np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8).tobytes()]})
+
+
+def shingle_levels(hashed: DataFrame, size: int) -> np.ndarray:
+    """How many records hold a shingle of each of ``size`` counters, as eighths of a power of two; one byte each, gathered
+    block by block."""
+    blocks = hashed.select("words").mapInPandas(_counted(size), "block int, at binary, met binary").groupBy("block").applyInPandas(_levels, "block int, levels binary")
+    out = np.zeros(size, dtype=np.uint8)
+    for row in blocks.toLocalIterator():
+        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["levels"], dtype=np.uint8)
+    return out
 
 
-def _gathered(cells: DataFrame, size: int) -> np.ndarray:
-    """``cells`` (i, v), at most ``size`` distinct i, as one array; sent to the driver in rows of 1024 cells."""
-    rows = cells.groupBy(F.shiftright("i", 10).alias("row")).agg(F.collect_list("i").alias("i"), F.collect_list("v").alias("v"))
-    out = np.zeros(size, dtype=np.int64)
+def shingle_bitmap(prefixes: DataFrame, bits: int) -> np.ndarray:
+    """``bits`` bits in longs: those of the hashed shingles of ``prefixes``."""
+    bit = F.col("shingle").bitwiseAND(bits - 1)
+    words = prefixes.select(F.explode("shingles").alias("shingle")).groupBy(F.shiftright(bit, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, shingle & 63)")).alias("v"))
+    rows = words.groupBy(F.shiftright("i", 12).alias("row")).agg(F.collect_list("i").alias("i"), F.collect_list("v").alias("v"))  # at most 4096 longs a row
+    out = np.zeros(bits // 64, dtype=np.int64)
     for row in rows.toLocalIterator():
         out[row["i"]] = row["v"]
     return out
 
 
-def shingle_counters(hashed: DataFrame) -> np.ndarray:
-    """How many records hold a shingle of each counter; the result has COUNTERS numbers, whatever the input."""
-    held = hashed.select("words").mapInPandas(_counted, "i int, v bigint").groupBy("i").agg(F.sum("v").alias("v"))
-    return _gathered(held, COUNTERS).astype(np.int32)
-
-
-def shingle_bitmap(prefixes: DataFrame) -> np.ndarray:
-    """BITMAP bits in longs: those of the hashed shingles of ``prefixes``; the same size for any input."""
-    bit = F.col("shingle").bitwiseAND(BITMAP - 1)
-    words = prefixes.select(F.explode("shingles").alias("shingle")).groupBy(F.shiftright(bit, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, shingle & 63)")).alias("v"))
-    return _gathered(words, BITMAP // 64)
-
-
-def rare_shingles(spark: SparkSession, words: Column, counts: np.ndarray, bitmap: np.ndarray | None = None) -> Column:
-    """The rarest shingles of each text, as many as at most_edits() changed words can touch and one more; of these, given
+def rare_shingles(spark: SparkSession, words: Column, levels: np.ndarray, bitmap: np.ndarray | None = None) -> Column:
+    """The rarest shingles of each text, as many as most_edits() changed words can touch and one more; of these, given
     a bitmap, those that it holds. None where nothing may differ. Texts shorter than that have all their shingles."""
-    shared = spark.sparkContext.broadcast((counts, bitmap))
+    shared = spark.sparkContext.broadcast((levels, bitmap))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def rarest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counts, bitmap = shared.value
+        levels, bitmap = shared.value
         for lists in batches:
             out = []
             for w in lists:
                 d = most_edits(len(w) // 4)
                 own = shingles(w) if d else np.empty(0, np.int32)
                 if len(own):
-                    own = own[np.argsort(counts[own & (COUNTERS - 1)].astype(np.int64) << 32 | own.view(np.uint32))[: SHINGLE * d + 1]]
+                    own = own[np.argsort(levels[own & (len(levels) - 1)].astype(np.int64) << 32 | own.view(np.uint32))[: SHINGLE * d + 1]]
                     if bitmap is not None:
-                        b = own & (BITMAP - 1)
+                        b = own & (64 * len(bitmap) - 1)
                         own = own[bitmap[b >> 6] >> (b & 63) & 1 == 1]
                 out.append(own)
             yield pd.Series(out, index=lists.index)
@@ -217,15 +236,16 @@ def near_same(left: pd.Series, right: pd.Series) -> pd.Series:
 
 def near_classes(spark: SparkSession, hashed: DataFrame) -> DataFrame:
     """(train_class, other_class): classes of different hash that are near-same, one of each side."""
-    counts = shingle_counters(hashed)
+    size = counter_number(hashed.agg(F.sum("n")).first()[0] or 0)
+    levels = shingle_levels(hashed, size)
     held = ["n", *SKETCHES, "shingles"]
 
     def prefixes(rows: DataFrame, words: Column) -> DataFrame:
         """One row (id, n, sketches, shingles) a class, copies gone."""
         return rows.withColumn("shingles", words).groupBy("class").agg(F.any_value(F.struct(*held)).alias("h")).select(F.xxhash64("class").alias("id"), "h.*")
 
-    theirs = cut(prefixes(hashed.where("not train"), rare_shingles(spark, F.col("words"), counts)))
-    ours = prefixes(hashed.where("train"), rare_shingles(spark, F.col("words"), counts, shingle_bitmap(theirs)))
+    theirs = cut(prefixes(hashed.where("not train"), rare_shingles(spark, F.col("words"), levels)))
+    ours = prefixes(hashed.where("train"), rare_shingles(spark, F.col("words"), levels, shingle_bitmap(theirs, BITS * size)))
     theirs = theirs.select("id", "n", *SKETCHES, F.explode("shingles").alias("shingle"))
     ours = ours.select(*(F.col(c).alias(f"a_{c}") for c in ("id", "n", *SKETCHES)), F.explode("shingles").alias("shingle"))
     longer, shorter = F.greatest("n", "a_n"), F.least("n", "a_n")
@@ -235,37 +255,47 @@ def near_classes(spark: SparkSession, hashed: DataFrame) -> DataFrame:
     pairs = cut(ours.join(theirs, "shingle").where(bounds & (F.col("id") != F.col("a_id"))).select("a_id", "id").distinct())
 
     ids = pairs.select(F.explode(F.array("a_id", "id")).alias("id")).distinct()
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # 8 bytes a row; beyond that an ordinary join
-    met = hashed.select(F.xxhash64("class").alias("id"), "class", "train", "words").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    met = hashed.select(F.xxhash64("class").alias("id"), "class", "train", "words").join(ids, "id", "left_semi")
     texts = met.groupBy("id", "class", "train").agg(F.any_value("words").alias("words"))
     a = texts.where("train").select(F.col("id").alias("a_id"), F.col("class").alias("train_class"), F.col("words").alias("a"))
     b = texts.where("not train").select("id", F.col("class").alias("other_class"), F.col("words").alias("b"))
     return pairs.join(a, "a_id").join(b, "id").where(near_same("a", "b")).select("train_class", "other_class")
 
 
+def near_links(spark: SparkSession, hashed: DataFrame) -> DataFrame:
+    return cut(near_classes(spark, hashed))
+
+
 def overlaps(spark: SparkSession, records: DataFrame) -> DataFrame:
-    """(train_id, other_id, split, source_name, exact): all same or near-same pairs across the sides."""
+    """(train_id, other_id, exact): all same or near-same pairs across the sides."""
     hashed = hashed_records(records)
     ours = hashed.where("train").select(F.col("record_id").alias("train_id"), F.col("class").alias("train_class"))
-    theirs = hashed.where("not train").select(F.col("record_id").alias("other_id"), "split", "source_name", F.col("class").alias("other_class"))
-    exact = ours.join(theirs, F.col("train_class") == F.col("other_class")).select("train_id", "other_id", "split", "source_name", F.lit(True).alias("exact"))
-    near = cut(near_classes(spark, hashed))
-    near = near.join(theirs, "other_class").join(ours, "train_class").select("train_id", "other_id", "split", "source_name", F.lit(False).alias("exact"))
+    theirs = hashed.where("not train").select(F.col("record_id").alias("other_id"), F.col("class").alias("other_class"))
+    exact = ours.join(theirs, F.col("train_class") == F.col("other_class")).select("train_id", "other_id", F.lit(True).alias("exact"))
+    near = near_links(spark, hashed).join(theirs, "other_class").join(ours, "train_class").select("train_id", "other_id", F.lit(False).alias("exact"))
     return exact.unionByName(near)
 
 
+def overlap_counts(spark: SparkSession, records: DataFrame) -> DataFrame:
+    """Per evaluation split and source: records, those with a same or near-same training record, those with a same one, and
+    the pairs. Counted per class: no pair of records is formed, however many copies a class has."""
+    hashed = hashed_records(records)
+    train = hashed.where("train").groupBy("class").agg(F.count("*").alias("copies"))
+    near = near_links(spark, hashed).join(train, F.col("train_class") == F.col("class")).groupBy(F.col("other_class").alias("class")).agg(F.sum("copies").alias("near_copies"))
+    held = hashed.where("not train").groupBy("split", "source_name", "class").agg(F.count("*").alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    met = held.join(train, "class", "left").join(near, "class", "left").withColumn("same", zero(F.col("copies"))).withColumn("all", zero(F.col("copies")) + zero(F.col("near_copies")))
+    split = F.lower(F.trim(F.col("metadata.split")))
+    every = records.where(split.isin("validation", "test")).groupBy(split.alias("split"), F.col("metadata.source_name").alias("source_name")).agg(F.count("*").alias("records"))
+    found = met.groupBy("split", "source_name").agg(F.sum(F.when(F.col("all") > 0, F.col("n"))).alias("overlapping"), F.sum(F.when(F.col("same") > 0, F.col("n"))).alias("exact"), F.sum(F.col("n") * F.col("all")).alias("pairs"))
+    joined = every.join(found, every["split"].eqNullSafe(found["split"]) & every["source_name"].eqNullSafe(found["source_name"]), "left")
+    return joined.select(every["split"], every["source_name"], "records", zero(F.col("overlapping")).alias("overlapping_records"), zero(F.col("exact")).alias("exact_records"), zero(F.col("pairs")).alias("pairs"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = overlaps(spark, table(spark, sf_dir, "chat_records"))
+    pairs = overlaps(spark, spread(table(spark, sf_dir, "chat_records")))
     return pairs.select(F.least("train_id", "other_id").alias("record_a"), F.greatest("train_id", "other_id").alias("record_b"))
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per evaluation split and source: records, those with a same or near-same training record, and the pairs."""
-    records = table(spark, sf_dir, "chat_records")
-    split = F.lower(F.trim(F.col("metadata.split")))
-    all_rows = records.where(split.isin("validation", "test")).groupBy(split.alias("split"), F.col("metadata.source_name").alias("source_name")).agg(F.count("*").alias("records"))
-    by_record = overlaps(spark, records).groupBy("split", "source_name", "other_id").agg(F.count_if("exact").alias("exact"), F.count("*").alias("all"))
-    found = by_record.groupBy("split", "source_name").agg(F.count("*").alias("overlapping_records"), F.count_if(F.col("exact") > 0).alias("exact_records"), F.sum("all").alias("pairs"))
-    joined = all_rows.join(found, all_rows["split"].eqNullSafe(found["split"]) & all_rows["source_name"].eqNullSafe(found["source_name"]), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return joined.select(all_rows["split"], all_rows["source_name"], "records", zero(F.col("overlapping_records")).alias("overlapping_records"), zero(F.col("exact_records")).alias("exact_records"), zero(F.col("pairs")).alias("pairs"))
+    return overlap_counts(spark, spread(table(spark, sf_dir, "chat_records")))

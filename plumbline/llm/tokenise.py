@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import table
+from plumbline.session import spread, table
 
 VOCABULARY = os.environ.get("PLUMBLINE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # The pre-token pattern of the public 50k byte-level vocabulary.
@@ -149,13 +149,13 @@ def decoded(spark: SparkSession, ids: Column, path: str = VOCABULARY) -> Column:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return documents.select("doc_id", token_ids(spark, F.col("text")).alias("ids"))
 
 
 def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: documents, characters, tokens, and how many texts the ids don't give back (none should)."""
-    documents = table(spark, sf_dir, "documents").select("source", "text", token_ids(spark, F.col("text")).alias("ids"))
+    documents = spread(table(spark, sf_dir, "documents").select("source", "text")).select("source", "text", token_ids(spark, F.col("text")).alias("ids"))
     back = documents.withColumn("back", decoded(spark, F.col("ids")))
     return back.groupBy("source").agg(
         F.count("*").alias("documents"),

@@ -10,16 +10,17 @@ text to learn from nothing is flagged.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.charforms import folded
-from plumbline.session import cut, table
+from plumbline.session import cut, spread, table
 
 #: Bound of the rows that the classifier is fitted on (before they are cut artificially).
 TRAIN_ROWS = 24_000
@@ -29,8 +30,11 @@ FIT_PARTITIONS = 4
 SURELY_CUT = 0.75
 #: Size of the hashed feature space.
 FEATURES = 1 << 15
-#: Lengths that are kept as field limits.
-LIMITS = 16
+#: Iterations of the two fits at most, and the change of the loss at which they stop.
+ITERATIONS, TOLERANCE = (15, 25), 1e-4
+#: A length is a field limit of its source if so many standard deviations more texts end there without a stop than the source's
+#: rate lets expect, and most of the texts of that length do.
+LIMIT_DEVIATIONS = 4.0
 # Marks of omission that a text may end with.
 MARKS = ("…", "...", " […]", "[truncated]", " [cut]", " [...]", " (cut)", "……")
 MARK = r"(\s?(?:…+|\.{3,}|\[(?:…|\.{3}|cut|truncated|truncated text|more|continued|snip|\p{IsHan}{1,4})\]|\((?:cut|truncated|more|continued)\)))$"
@@ -49,15 +53,13 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 #: A text in which a sentence ends before the last one; a point behind a short opening word is an abbreviation's.
-_SEVERAL = r"(?s)(?<!^\p{L}{1,4}|, \p{L}{1,4})[.!?]\s+\S|[。！？…\n]\s*[^\s…]"
+_SEVERAL = r"(?s)[.!?](?<!^\p{L}{1,4}[.!?]|, \p{L}{1,4}[.!?])\s+\S|[。！？…\n]\s*[^\s…]"
 #: Blanks that don't count at the end of a text.
 BLANKS_BEHIND = " \n\t\r\u00a0\u3000\u200b\ufeff"
-#: Closing characters that the features look at (the end is folded, not the whole text).
-CLOSING = 160
 
 
 def _closing(text: Column) -> Column:
-    """The struct (mark, body, words, end, whole, item) of a text: its mark of omission, the closing characters before it, the
+    """The struct (mark, body, words, end, whole, item) of a text: its mark of omission, the text before it, the
     words of its last sentence, the class of its last character, and whether that sentence is the whole text or the last
     line an item of a list."""
 
@@ -75,10 +77,20 @@ def _closing(text: Column) -> Column:
         return F.struct(mark.alias("mark"), body.alias("body"), words.alias("words"), F.when(mark != "", "mark").otherwise(kind.otherwise("sign")).alias("end"), (~text.rlike(_SEVERAL)).alias("whole"), F.substring_index(text, "\n", -1).rlike(r"^\s*[-*•]\s").alias("item"))
 
     trimmed = F.rtrim(text, F.lit(BLANKS_BEHIND))
-    return _let(F.rtrim(folded(F.right(trimmed, F.lit(CLOSING))), F.lit(BLANKS_BEHIND)), parts)
+    return _let(F.rtrim(folded(trimmed), F.lit(BLANKS_BEHIND)), parts)
 
 
-def _features(c: Column, length: Column, limits: list[int]) -> Column:
+def _source(name: str | None) -> Column:
+    return F.lit(None).cast("string") if name is None else F.col(name)
+
+
+def _limits_of(source: Column, limits: dict[str, list[int]]) -> Column:
+    """The field limits of a row's source."""
+    table = F.from_json(F.lit(json.dumps(limits, ensure_ascii=False)), "map<string,array<int>>")
+    return F.coalesce(F.try_element_at(table, F.coalesce(source, F.lit(""))), F.array().cast("array<int>"))
+
+
+def _features(c: Column, at_limit: Column) -> Column:
     words, end, mark = c["words"], c["end"], c["mark"]
     n = F.size(words)
     at = lambda i: F.coalesce(F.when(n >= i, _shape(F.try_element_at(words, F.lit(-i)))), F.lit("^"))
@@ -88,7 +100,7 @@ def _features(c: Column, length: Column, limits: list[int]) -> Column:
     item = F.when(c["item"], "item").otherwise("flow")
     whole = F.when(c["whole"], "w").otherwise("p")
     size = F.when(n > 12, 13).when(n > 8, 9).otherwise(n).cast("string")
-    near = F.when(length.isin(*limits), "at").otherwise("off") if limits else F.lit("off")
+    near = F.when(at_limit, "at").otherwise("off")
     tail = F.regexp_replace(F.right(c["body"], F.lit(6)), _DIGIT, "0")
 
     def named(v: Column) -> Column:
@@ -99,32 +111,38 @@ def _features(c: Column, length: Column, limits: list[int]) -> Column:
             "d": [v["w"], end, F.when(v["b"].rlike("0"), "n").otherwise("t"), F.when(v["a"].rlike("0"), v["a"]).otherwise("t")],
             "l": [near, end], "ob": [v["o"], v["p"], end], "k": [v["w"], v["q"], end],
         }
-        return F.array(*[F.concat_ws("\x1f", F.lit(k), *x) for k, x in made.items()])
+        return F.array(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *x)), 16, "0") for k, x in made.items()])
 
     return _let(F.struct(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"), at(4).alias("d"), opening.alias("o"), whole.alias("w"), size.alias("n"), tail.alias("tail"), second.alias("p"), item.alias("q")), named)
 
 
-def closing_features(frame: DataFrame, text: str, limits: list[int], name: str = "features") -> DataFrame:
-    """``frame`` with the array<string> column ``name``."""
+def closing_features(frame: DataFrame, text: str, limits: dict[str, list[int]], source: str | None = None, name: str = "features") -> DataFrame:
+    """``frame`` with the column ``name``: the features that hold of the text, as hashes of 16 hexadecimal digits."""
     column = F.col(text)
-    return frame.withColumn(name, _let(_closing(column), lambda c: _features(c, F.length(column), limits)))
+    at_limit = F.array_contains(_limits_of(_source(source), limits), F.length(column))
+    return frame.withColumn(name, _let(_closing(column), lambda c: _features(c, at_limit)))
 
 
-def field_limits(frame: DataFrame, text: str) -> tuple[list[int], int]:
-    """The lengths at which most texts without a full stop end (at most LIMITS numbers), and the number of texts."""
+def field_limits(frame: DataFrame, text: str, source: str | None = None) -> tuple[dict[str, list[int]], int]:
+    """For each source all lengths at which its texts are cut, and the number of texts: one row a length goes to the driver."""
     last = F.right(F.rtrim(F.col(text), F.lit(BLANKS_BEHIND)), F.lit(1))
-    rows = frame.where(F.col(text).isNotNull()).select(F.length(text).alias("n"), last.isin(*".。!?！？…").alias("stopped"))
-    counts = rows.groupBy("n").agg(F.count_if(~F.col("stopped")).alias("open"), F.count("*").alias("all"))
-    often = F.when((F.col("n") >= 60) & (F.col("open") >= 5) & (2 * F.col("open") >= F.col("all")), F.struct(-F.col("open"), "n"))
-    found = counts.agg(F.sum("all").alias("texts"), F.slice(F.array_sort(F.collect_list(often)), 1, LIMITS)["n"].alias("limits")).first()
-    return sorted(found["limits"]), found["texts"] or 0
-
-
-def _cut_values(intact: DataFrame, limits: list[int]) -> DataFrame:
+    rows = frame.where(F.col(text).isNotNull()).select(F.coalesce(_source(source), F.lit("")).alias("source"), F.length(text).alias("n"), last.isin(*".。!?！？…").alias("stopped"))
+    counts = rows.groupBy("source", "n").agg(F.count_if(~F.col("stopped")).alias("open"), F.count("*").alias("all"))
+    by = Window.partitionBy("source")  # over lengths, not texts
+    usual = 2 * F.col("open") < F.col("all")  # lengths at which most texts have a stop tell the source's rate
+    rate = F.coalesce(F.try_divide(F.sum(F.when(usual, F.col("open"))).over(by), F.sum(F.when(usual, F.col("all"))).over(by)), F.lit(0.0))
+    rated = counts.withColumn("rate", rate).withColumn("texts", F.sum("all").over(by))
+    expected = F.col("all") * F.col("rate")
+    often = (F.col("n") >= 60) & (F.col("open") >= 5) & (2 * F.col("open") >= F.col("all")) & (F.col("open") - expected >= LIMIT_DEVIATIONS * F.sqrt(expected * (1 - F.col("rate"))))
+    found = rated.groupBy("source").agg(F.first("texts").alias("texts"), F.array_sort(F.collect_list(F.when(often, F.col("n")))).alias("limits")).collect()
+    return {r["source"]: r["limits"] for r in found if r["limits"]}, sum(r["texts"] for r in found)
+
+
+def _cut_values(intact: DataFrame, limits: dict[str, list[int]]) -> DataFrame:
     """Positives: each intact value cut inside a sentence, sometimes with a mark or a broken character behind."""
     h = lambda k, n: F.pmod(F.xxhash64(F.lit(k), "text", "copy"), F.lit(n)).cast("int")
     size = F.length("text")
-    spots = F.filter(F.array(*[F.lit(n) for n in limits]), lambda n: n < F.length("text") - 1) if limits else F.array().cast("array<int>")
+    spots = F.filter(_limits_of(F.col("source"), limits), lambda n: n < F.length("text") - 1)
     chosen = F.try_element_at(spots, h("limit", 1000) % F.greatest(F.size(spots), F.lit(1)) + 1)
     anywhere = F.greatest(F.lit(4), F.lit(1) + h("at", 1_000_003) % F.greatest(size - 2, F.lit(1)))
     at = F.when((h("which", 2) == 0) & (F.size(spots) > 0), chosen).otherwise(anywhere)
@@ -135,30 +153,33 @@ def _cut_values(intact: DataFrame, limits: list[int]) -> DataFrame:
     told = ~(last.rlike(_DIGIT) & F.col("text").rlike(r"[\d]\s*$")) & ~F.col("next").isin(".", "。", "\n", "")
     mark = F.array(*[F.lit(m) for m in MARKS])
     tail = F.when(h("mark", 4) == 0, F.element_at(mark, h("kind", len(MARKS)) + 1)).when(h("mark", 16) == 1, "�").otherwise("")
-    return cuts.where(inside & told).select(F.concat("part", tail).alias("text"), F.lit(1.0).alias("label"))
+    return cuts.where(inside & told).select(F.concat("part", tail).alias("text"), "source", F.lit(1.0).alias("label"))
 
 
 class ClosingModel:
     """A fitted classifier; ``score`` adds the probability that a text stops before its end."""
 
-    def __init__(self, model: LogisticRegressionModel | None, limits: list[int]):
-        self.model, self.limits = model, limits
+    def __init__(self, weights: list[float], intercept: float | None, limits: dict[str, list[int]]):
+        self.weights, self.intercept, self.limits = weights, intercept, limits
 
-    def score(self, frame: DataFrame, text: str, name: str = "cut_probability") -> DataFrame:
+    def score(self, frame: DataFrame, text: str, source: str | None = None, name: str = "cut_probability") -> DataFrame:
+        """Built-in SQL: the weights of the features that hold, looked up in one constant array, are added up."""
         own = frame.columns
-        blank = F.coalesce(F.trim(F.regexp_replace(F.col(text), r"[\s\x{a0}\x{200b}\x{feff}]+", "")), F.lit("")) == ""
-        if self.model is None:
+        if self.intercept is None:
             return frame.withColumn(name, F.lit(0.0))
-        featured = closing_features(frame, text, self.limits, "_features")
-        hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_features", outputCol="_vector").transform(featured)
-        scored = self.model.setFeaturesCol("_vector").setProbabilityCol("_p").setRawPredictionCol("_raw").setPredictionCol("_label").transform(hashed)
-        return scored.select(*own, F.when(blank, 0.0).otherwise(vector_to_array("_p")[1]).alias(name))
+        blank = F.coalesce(F.trim(F.regexp_replace(F.col(text), r"[\s\x{a0}\x{200b}\x{feff}]+", "")), F.lit("")) == ""
+        weights = F.from_json(F.lit(json.dumps(self.weights)), "array<double>")
+        # terms of a multiple of four bytes have the same place here as in HashingTF
+        places = F.array_distinct(F.transform("_features", lambda term: F.pmod(F.hash(term), F.lit(FEATURES))))
+        summed = F.aggregate(places, F.lit(self.intercept), lambda total, i: total + F.get(weights, i))
+        featured = closing_features(frame, text, self.limits, source, "_features")
+        return featured.select(*own, F.when(blank, 0.0).otherwise(1 / (1 + F.exp(-summed))).alias(name))
 
 
-def fit_closing(frame: DataFrame, text: str, train_rows: int = TRAIN_ROWS) -> ClosingModel:
+def fit_closing(frame: DataFrame, text: str, source: str | None = None, train_rows: int = TRAIN_ROWS) -> ClosingModel:
     """Learns from the intact values among ``frame[text]``; the fit sees at most about ``train_rows`` of them."""
-    limits, texts = field_limits(frame, text)
-    rows = frame.select(F.col(text).alias("text")).where("text is not null")
+    limits, texts = field_limits(frame, text, source)
+    rows = frame.select(F.col(text).alias("text"), _source(source).alias("source")).where("text is not null")
     share = min(1.0, train_rows / max(1, texts))
     sample = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
     text = F.col("text")
@@ -171,27 +192,28 @@ def fit_closing(frame: DataFrame, text: str, train_rows: int = TRAIN_ROWS) -> Cl
         stopped = c["end"] == "stop"
         return F.when(c["body"] == "", None).when(stopped & c["body"].rlike(r"\s\d+\.$"), "numbered").when(stopped, "stopped").when(label | listed, "label")
 
-    intact = cut(sample.select("text", _let(_closing(text), judged).alias("kind"))).where("kind is not null")
-    positives = _cut_values(intact.where("kind <> 'numbered'").select("text"), limits)
-    examples = intact.select("text", "kind", F.lit(0.0).alias("label")).unionByName(positives.withColumn("kind", F.lit("cut")))
-    featured = cut(closing_features(examples, "text", limits).select("label", "kind", "features").repartition(FIT_PARTITIONS))
+    intact = cut(sample.select("text", "source", _let(_closing(text), judged).alias("kind"))).where("kind is not null")
+    positives = _cut_values(intact.where("kind <> 'numbered'").select("text", "source"), limits)
+    examples = intact.select("text", "source", "kind", F.lit(0.0).alias("label")).unionByName(positives.withColumn("kind", F.lit("cut")))
+    featured = cut(closing_features(examples, "text", limits, "source").select("label", "kind", "features").repartition(FIT_PARTITIONS))
+    featured = HashingTF(numFeatures=FEATURES, binary=True, inputCol="features", outputCol="vector").transform(featured)
     if featured.agg(F.countDistinct("label")).first()[0] < 2:
-        return ClosingModel(None, limits)
-    hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="features", outputCol="vector").transform(featured)
-    fit = LogisticRegression(featuresCol="vector", labelCol="label", elasticNetParam=0.0, standardization=False)
+        return ClosingModel([], None, limits)
+    fit = LogisticRegression(featuresCol="vector", labelCol="label", elasticNetParam=0.0, standardization=False, tol=TOLERANCE)
     # some labels without a stop are cut sentences; a strongly regularised first fit tells which, the second does without
-    first = fit.setParams(regParam=0.0005, maxIter=25).fit(hashed)
-    told = first.transform(hashed).withColumn("p", vector_to_array("probability")[1])
+    first = fit.setParams(regParam=0.0005, maxIter=ITERATIONS[0]).fit(featured)
+    told = first.transform(featured).withColumn("p", vector_to_array("probability")[1])
     kept = told.where((F.col("kind") != "label") | (F.col("p") < SURELY_CUT)).select("label", "vector")
-    return ClosingModel(fit.setParams(regParam=0.00005, maxIter=50).fit(kept), limits)
+    model = fit.setParams(regParam=0.00005, maxIter=ITERATIONS[1]).fit(kept)
+    return ClosingModel([round(float(w), 9) for w in model.coefficients.toArray()], float(model.intercept), limits)
 
 
 def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tbl, row_id, reporter, text, truncated) of both tables; the reporter is the profile or the source type."""
     evidence = table(spark, sf_dir, "evidence_refs").select(F.lit("evidence_refs").alias("tbl"), F.col("evidence_row").cast("bigint").alias("row_id"), F.col("source_type").alias("reporter"), F.col("excerpt").alias("text"))
     issues = table(spark, sf_dir, "review_issues").select(F.lit("review_issues").alias("tbl"), F.col("issue_row").cast("bigint").alias("row_id"), F.col("teacher_model_profile").alias("reporter"), F.col("message").alias("text"))
-    rows = evidence.unionByName(issues)
-    scored = fit_closing(rows, "text").score(rows, "text")
+    rows = spread(evidence).unionByName(spread(issues)).withColumn("source", F.concat_ws(":", "tbl", "reporter"))
+    scored = fit_closing(rows, "text", "source").score(rows, "text", "source")
     return scored.withColumn("truncated", F.col("cut_probability") >= 0.5)
 
 

@@ -3,7 +3,7 @@ import pytest
 from plumbline.llm import chatdefects as d
 
 
-@pytest.mark.parametrize("text", ["I can't help with that request.", "Sorry. That is outside what I may do, so no answer is given here. Try another question.", "很抱歉，我无法协助处理这个请求。", "Leider kann ich bei dieser Anfrage nicht helfen.", "Lo siento, no puedo ayudar con esta solicitud.", "Malheureusement, il m'est interdit de traiter ce sujet."])
+@pytest.mark.parametrize("text", ["I can't help with that request.", "Sorry. That is outside what I may do, so no answer is given here. Try another question.", "很抱歉，我无法协助处理这个请求。", "Leider kann ich bei dieser Anfrage nicht helfen.", "Lo siento, no puedo ayudar con esta solicitud.", "Malheureusement, il m'est interdit de traiter ce sujet.", "I'm sorry, I can't share that.", "I would rather not say.", "That is something I refuse to talk about.", "As an AI language model I do not have access to this information.", "Sorry. I cannot help with that request. " * 50, "Mi dispiace. Non posso rispondere a questa domanda."])
 def test_refusals(text):
     assert d.is_refusal(d.unify_lines(text))
 
@@ -34,6 +34,26 @@ def test_languages():
     assert d.spoken_defect(USER, "Tag HX-1A-200") is None
 
 
+@pytest.mark.parametrize("answer", [
+    "La pompa di riserva è stata consegnata dopo il guasto e non ha funzionato nella notte.", "A bomba reserva foi entregue após a falha e não funcionou até o fim do turno com a equipe.",
+    "Het reserveonderdeel werd naar de hal gebracht maar het is niet voor de nacht ingebouwd.", "Zapasowa pompa została dostarczona po awarii i nie była jeszcze gotowa, że jest.",
+    "Reservpumpen är levererad och monterad efter felet, men den är inte provad för att delen saknas.", "Yedek pompa arıza sonra getirildi ve bir saat için çalıştı, ama çok iyi değil.",
+    "Pompa de rezervă a fost adusă după defect și nu este montată din cauza unei piese pentru care nu sunt date.", "A szivattyú és a motor nem működött, hogy az egy órával később is meg volt.",
+    "予備ポンプは朝の巡回で届けられ、取り付けられました。", "예비 펌프는 아침 순찰에서 설치되었습니다. 그 후 이상이 없습니다.", "Ο εφεδρικός κινητήρας παραδόθηκε και τοποθετήθηκε το πρωί.",
+    "تم تسليم المضخة الاحتياطية وتركيبها في الصباح", "המשאבה הרזרבית נמסרה והותקנה בבוקר", "अतिरिक्त पंप सुबह पहुंचाया गया और लगाया गया", "ปั๊มสำรองถูกส่งมอบและติดตั้งในตอนเช้า",
+])
+def test_further_languages(answer):
+    assert d.spoken_defect(USER, answer) == "language"
+
+
+def test_length_decides_nothing():
+    """Lead-ins are judged by what they say, refusals and copies whatever their length."""
+    long = "Why did the runback follow at Ostrum and why was the spare pump not fitted before the restart of unit four?\n" * 40
+    assert d.spoken_defect(long, "You asked the following, which is repeated here so that it can be read once more: " + long) == "copy"
+    assert d.spoken_defect("Why so?", "Why so?") == "copy" and d.spoken_defect("Why so?", "Q: why so") == "copy"
+    assert d.spoken_defect("Choose one.\nyes\nno", "yes") is None
+
+
 def test_pairs_and_frame(spark):
     m = "array<struct<role string, content string>>"
     rows = [

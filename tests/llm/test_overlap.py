@@ -62,3 +62,38 @@ def test_brute_force(spark):
 def test_empty(spark, rows):
     schema = "record_id bigint, messages array<struct<role string, content string>>, metadata struct<sample_id string, source_name string, split string, case_id string, role string>"
     assert o.overlaps(spark, spark.createDataFrame(rows, schema)).count() == 0
+
+
+META = "record_id bigint, messages array<struct<role string, content string>>, metadata struct<sample_id string, source_name string, split string, case_id string, role string>"
+
+
+def test_roles_count_in_every_spelling(spark):
+    """The answers of ``AI`` and the questions of ``customer`` count, blanks and letter case of a role don't."""
+    rows = [
+        (1, [("user", "why?"), ("AI", "the pump tripped at noon")], ("x", "a", "train", None, None)),
+        (2, [("user", "why?"), ("ai ", "nothing of the kind happened")], ("x", "a", "test", None, None)),
+        (3, [("customer", "where is it now?"), ("gpt", "in hall four")], ("x", "a", "train", None, None)),
+        (4, [("user\n", "Where is it now"), ("Assistant", "In Hall Four.")], ("x", "b", "test", None, None)),
+        (5, [("user", "where is it now?"), ("bot", "in hall four")], ("x", "b", "validation", None, None)),
+    ]
+    frame = spark.createDataFrame(rows, META)
+    assert {(r.train_id, r.other_id, r.exact) for r in o.overlaps(spark, frame).collect()} == {(3, 4, True), (3, 5, True)}
+
+
+def test_counts_are_those_of_the_pairs(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, [("user", words if i % 3 else words.replace("w7", "other")), ("assistant", "fine")], ("x", "s" if i % 2 else None, ("train", "test", "validation")[i % 5 % 3], None, None)) for i in range(40)]
+    rows.append((99, [("user", "quite another text of nine words in all here")], ("x", "s", "test", None, None)))
+    frame = spark.createDataFrame(rows, META)
+    want = {}
+    for p in o.overlaps(spark, frame).join(frame.selectExpr("record_id as other_id", "metadata.split as split", "metadata.source_name as source_name"), "other_id").collect():
+        w = want.setdefault((p.split, p.source_name), [set(), set(), 0])
+        w[0].add(p.other_id)
+        w[1] |= {p.other_id} if p.exact else set()
+        w[2] += 1
+    got = {(r.split, r.source_name): (r.overlapping_records, r.exact_records, r.pairs) for r in o.overlap_counts(spark, frame).collect()}
+    assert got == {k: (len(a), len(b), n) for k, (a, b, n) in want.items()} and len(got) == 4
+
+
+def test_counter_number():
+    assert o.counter_number(0) == o.COUNTERS[0] and o.counter_number(10**12) == o.COUNTERS[1] and o.counter_number(10**8) == 1 << 24

@@ -1,6 +1,8 @@
 import random
 
-from plumbline.llm.truncation import closing_features, fit_closing
+from pyspark.sql import functions as F
+
+from plumbline.llm.truncation import _closing, closing_features, field_limits, fit_closing
 
 NOUNS = ["pump", "valve", "bearing", "gearbox", "strainer", "exciter", "governor", "coupling"]
 PLACES = ["Norvik", "Ostrum", "Calderay", "Wrenfoss", "Umberlea"]
@@ -45,4 +47,18 @@ def test_edge_rows(spark):
     model = fit_closing(frame, "text")
     assert all(r.cut_probability == 0.0 for r in model.score(frame, "text").collect())
     assert fit_closing(frame.limit(0), "text").score(frame.limit(0), "text").count() == 0
-    assert closing_features(frame, "text", [240], "made").where("text is not null").select("made").count() == 3
+    assert closing_features(frame, "text", {"": [240]}, name="made").where("text is not null").select("made").count() == 3
+
+
+def test_the_last_sentence_is_looked_at_whole(spark):
+    long = "Firstly " + "the crew moved the pump and " * 20 + "then the valve was"
+    row = spark.createDataFrame([("All was well. " + long,)], "text string").select(_closing(F.col("text")).alias("c")).first().c
+    assert len(long) > 500 and row.words[0] == "firstly" and len(row.words) == len(long.split())
+
+
+def test_every_limit_of_every_source(spark):
+    """A length is a limit of the source that cuts there, however many limits there are."""
+    rows = [(s, "x" * (n - 1) + "e") for s, ns in (("a", range(100, 160, 3)), ("b", range(300, 340))) for n in ns for _ in range(30)]
+    rows += [(s, "x" * n + ".") for s in "abc" for n in range(60, 400)] * 2
+    limits, texts = field_limits(spark.createDataFrame(rows, "source string, text string"), "text", "source")
+    assert limits == {"a": list(range(100, 160, 3)), "b": list(range(300, 340))} and texts == len(rows)
