@@ -154,13 +154,15 @@ def prose_language(text: str) -> str | None:
     return first if c[first] >= (2 if first in FUNCTION_WORDS else 3) and c[first] >= 2 * c[second] else None
 
 
-def user_languages(text: str) -> set[str]:
-    """The languages that a message uses or asks for."""
+def user_takes(text: str, language: str) -> bool:
+    """Whether a message uses a language or asks for it."""
     c = _counts(text)
-    top = max(c[k] for k in SPELT)
-    used = {k for k in SPELT if c[k] >= 3 and c[k] >= 0.3 * top or 0 < c[k] == top}
-    used |= {k for k, (_, least) in _SCRIPT.items() if c[k] >= least // 2 + (k == "ru") * 2}
-    return used | {k for k, p in _NAMED.items() if p.search(text)}
+    if language in _SCRIPT:
+        used = c[language] >= _SCRIPT[language][1] // 2 + (language == "ru") * 2
+    else:
+        top = max(c[k] for k in SPELT)
+        used = c[language] >= 3 and c[language] >= 0.3 * top or 0 < c[language] == top
+    return used or bool(_NAMED[language].search(text))
 
 
 _KEPT = re.compile(r"[^\W_]+")
@@ -218,7 +220,7 @@ def spoken_defect(user: str | None, answer: str) -> str | None:
     if prompt and words and novel_size(words, prompt) <= NOVEL_BYTES + NOVEL_SHARE * len(words) and gives_back(a, u):
         return "copy"
     spoken = prose_language(a)
-    return "language" if spoken and spoken not in user_languages(u) else None
+    return "language" if spoken and not user_takes(u, spoken) else None
 
 
 def unify_lines(text: str) -> str:

@@ -54,6 +54,11 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 #: A text in which a sentence ends before the last one; a point behind a short opening word is an abbreviation's.
 _SEVERAL = r"(?s)[.!?](?<!^\p{L}{1,4}[.!?]|, \p{L}{1,4}[.!?])\s+\S|[。！？…\n]\s*[^\s…]"
+#: Where one sentence ends and the next begins; a break that something follows.
+_BETWEEN = r"(?<=[.!?])(?<!^\p{L}{1,4}\.|, \p{L}{1,4}\.)\s+|(?<=。)|\n|……|(?<=…)\s*"
+_BREAK = r"(?:(?<=[.!?])(?<!, \p{L}{1,4}\.)\s+|(?<=。)|\n)(?=[\p{L}\p{N}])"
+#: Closing characters that are folded if a sentence begins in them; else the whole text is. The last sentence is whole either way.
+FOLDED = 160
 #: Blanks that don't count at the end of a text.
 BLANKS_BEHIND = " \n\t\r\u00a0\u3000\u200b\ufeff"
 
@@ -71,13 +76,16 @@ def _closing(text: Column) -> Column:
         kind = F.when(last.isin(".", "。", "!", "?"), "stop")
         for name, pattern in (("comma", "[,;:、]"), ("open", r"[(\[{“‘«<]"), ("close", r"[)\]}”’»>\"']"), ("digit", _DIGIT), ("lost", "�"), ("han", r"\p{IsHan}"), ("letter", r"\p{L}")):
             kind = kind.when(last.rlike(pattern), name)
-        segment = F.element_at(F.filter(F.concat(F.array(F.lit("")), F.split(body, r"(?<=[.!?])(?<!^\p{L}{1,4}\.|, \p{L}{1,4}\.)\s+|(?<=。)|\n|……|(?<=…)\s*")), lambda x: (F.trim(x) != "") | (x == "")), -1)
+        segment = F.element_at(F.filter(F.concat(F.array(F.lit("")), F.split(body, _BETWEEN)), lambda x: (F.trim(x) != "") | (x == "")), -1)
         segment = F.regexp_replace(segment, r"^\s*(?:[-*•]\s+)?", "")
         words = F.regexp_extract_all(segment, F.lit(r"(\p{IsHan}|[^\s\p{IsHan}]+)"), F.lit(1))
         return F.struct(mark.alias("mark"), body.alias("body"), words.alias("words"), F.when(mark != "", "mark").otherwise(kind.otherwise("sign")).alias("end"), (~text.rlike(_SEVERAL)).alias("whole"), F.substring_index(text, "\n", -1).rlike(r"^\s*[-*•]\s").alias("item"))
 
-    trimmed = F.rtrim(text, F.lit(BLANKS_BEHIND))
-    return _let(F.rtrim(folded(trimmed), F.lit(BLANKS_BEHIND)), parts)
+    def ending(trimmed: Column) -> Column:
+        tail = F.right(trimmed, F.lit(FOLDED))
+        return F.when((F.length(trimmed) <= FOLDED) | ~F.substring(tail, 9, FOLDED).rlike(_BREAK), trimmed).otherwise(tail)
+
+    return _let(F.rtrim(folded(_let(F.rtrim(text, F.lit(BLANKS_BEHIND)), ending)), F.lit(BLANKS_BEHIND)), parts)
 
 
 def _source(name: str | None) -> Column:
