@@ -32,16 +32,33 @@ BLANKS = "\u000b\u000c\u0085                 
 # Signs with a compatibility form that are ordinary nevertheless (raised digits, ordinals, the ellipsis,
 # Chinese punctuation).
 ORDINARY = "²³¹⁰⁴⁵⁶⁷⁸⁹ªº…！（），：；？～￥"
-# Letters of other scripts that look like Latin ones, and signs that look like the hyphen or the slash.
-CYRILLIC = dict(zip("аеорсухѕіјԁһԛԝАВЕКМНОРСТУХЅІЈ", "aeopcyxsijdhqwABEKMHOPCTYXSIJ"))
-GREEK = dict(zip("αγικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ayikvoptuxABEZHIKMNOPTYX"))
-ARMENIAN = dict(zip("հսօոցզլ", "huongql"))
+# Letters of other scripts that look like Latin ones (the public list of confusable characters, as far as
+# single letters go), and signs that look like the hyphen or the slash. Small Cyrillic letters that look like small capitals
+# (STRONGER) and μ Ω β Δ, which are signs of their own, tell a script.
+CYRILLIC = dict(zip("аеорсухѕіјԁһԛԝѵүԍҽАВЕЅЗКМНОРСТУХІЈԌԚԜѴҮ", "aeopcyxsijdhqwvygeABES3KMHOPCTYXIJGQWVY"))
+STRONGER = dict(zip("вкмнт", "bkmht"))
+GREEK = dict(zip("αγεηικνοπρστυχωϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϿ", "ayenikvonpotuxwcjABEZHIKMNOPTYXCC"))
+ARMENIAN = dict(zip("հսօոցզլյքւՕՍԼՏ", "huongqljpiOULS"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃᎩᏒᏎᏔ", "ABCDEGHJKLMPRSTVWZYRWW"))
 SIGNS = {"‐": "-", "‑": "-", "−": "-", "﹣": "-", "－": "-", "∕": "/", "∶": ":"}
 # Single characters that stand for several letters, as far as the SQL skeleton splits them.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "℃": "°c", "Ⅱ": "ii", "Ⅲ": "iii", "㎐": "hz", "㎸": "kv", "㎾": "kw", "㎫": "mpa", "㎜": "mm", "ß": "ss"}
-LOOKALIKE = {**CYRILLIC, **GREEK, **ARMENIAN}
+
+
+def _phonetic() -> dict[str, str]:
+    """Latin letters of other blocks that look like plain ones, by rule from their names: small capitals, script and alpha."""
+    found = {}
+    for code in (*range(0x250, 0x2B0), *range(0x1D00, 0x1D80), *range(0xA720, 0xA800), *range(0xAB30, 0xAB70)):
+        name = unicodedata.name(chr(code), "")
+        if match := re.fullmatch(r"LATIN LETTER SMALL CAPITAL ([A-Z])|LATIN SMALL LETTER SCRIPT ([A-Z])|LATIN SMALL LETTER (ALPHA)", name):
+            found[chr(code)] = (match[1] or match[2] or "a").lower()
+    return found
+
+
+PHONETIC = _phonetic()
+LOOKALIKE = {**CYRILLIC, **STRONGER, **GREEK, **ARMENIAN, **CHEROKEE, **PHONETIC}
 #: The Latin letters that stand for Cyrillic ones inside a Cyrillic word.
-TO_CYRILLIC = {v: k for k, v in CYRILLIC.items() if "А" <= k <= "я"}
+TO_CYRILLIC = {v: k for k, v in {**STRONGER, **CYRILLIC}.items() if "А" <= k <= "я" and v.isalpha()}
 #: Letters of the Russian alphabet; other Cyrillic lookalikes never make up a word of their own here.
 RUSSIAN = frozenset(chr(c) for c in range(0x410, 0x450)) | {"ё", "Ё"}
 
@@ -69,51 +86,76 @@ def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
     listed = "".join(f"{chr(a)}-{chr(b)}" for a, b in IGNORABLE_RANGES) + "".join(re.escape(c) for c in [*BLANKS, *compatibility(), *SIGNS])
     odd = re.compile(f"[{listed}]")
     marks = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿]")
-    letters = re.compile(_class(list(LOOKALIKE)))
+    letters = re.compile(_class(list(LOOKALIKE))[:-1] + "Ѐ-ԯ]")
     return odd, re.compile(ignorable), marks, letters
 
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_OTHERS = "Ͱ-ϿЀ-ԯԱ-֏ɐ-ʯᎠ-᏿ᴀ-ᵿꜰ-ꟿꬰ-ꭩ"
 #: Texts of nothing but these need no look at single characters (no Cyrillic, Greek or Armenian lookalikes).
-_PLAIN = re.compile(f"[\\x00-\x7f一-龥À-ÖØ-öø-ÿ°·²³ΔΩβμ…。，：（）、；！？“”‘’]*")
-_WORD = re.compile(f"[{_LATIN}Ͱ-ϿЀ-ԯԱ-֏0-9]+(?:-[{_LATIN}Ͱ-ϿЀ-ԯԱ-֏0-9]+)*")
+_PLAIN = re.compile(f"[\\x00-\\x7f一-龥À-ÖØ-öø-ÿ°·²³ΔΩβμ…。，：（）；、！？“”‘’]*")
+_WORD = re.compile(f"[{_LATIN}{_OTHERS}0-9]+(?:-[{_LATIN}{_OTHERS}0-9]+)*")
 _HAS_LATIN = re.compile(f"[{_LATIN}]")
-_PLAIN_CYRILLIC = re.compile("[бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯёЁ]")
+_LETTERS_OF = {"cyrillic": re.compile("[Ѐ-ԯ]"), "strong": re.compile("[бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯёЁ]")}
+#: Cyrillic and Latin letters that have no counterpart in the other script.
+_ONLY_CYRILLIC, _ONLY_LATIN = re.compile("[бгджзийлпфцчшщъыьэюяБГДЖИЙЛПФЦЧШЩЪЫЬЭЮЯёЁ]"), re.compile(f"[{_LATIN}]")
 _FOLD = str.maketrans(LOOKALIKE)
 _BACK = str.maketrans(TO_CYRILLIC)
 
 
+def _one_script(part: str, tagged: bool) -> str:
+    """A word, or one between hyphens, in one script; what stands around it counts for nothing. ``tagged``: it holds a
+    number or is tied to a Latin word or a number, as in equipment tags."""
+    if _HAS_LATIN.search(part):
+        if not _LETTERS_OF["cyrillic"].search(part):
+            return part.translate(_FOLD)  # a Latin word with letters of other scripts
+        native = len(_ONLY_CYRILLIC.findall(part))
+        latin = sum(c not in TO_CYRILLIC for c in _ONLY_LATIN.findall(part))
+        if native > latin or native == latin and _LETTERS_OF["strong"].search(part):
+            return part.translate(_BACK)  # a Cyrillic word with Latin letters
+        return part.translate(_FOLD)
+    letters = [c for c in part if c.isalpha()]
+    if letters and all(c in LOOKALIKE for c in letters):
+        unheard = any(c not in RUSSIAN for c in letters) and any(c in CYRILLIC for c in letters)
+        phonetic = all(c in PHONETIC for c in letters)
+        if tagged and not any(c in STRONGER for c in letters) or unheard or phonetic:
+            return part.translate(_FOLD)
+    return part
+
+
 def _same_script(text: str) -> tuple[str, bool]:
     """``text`` with each word in one script, and whether a word had letters of another one."""
     odd = False
-    native = bool(_PLAIN_CYRILLIC.search(text))
 
     def mend(match: re.Match) -> str:
         nonlocal odd
         word = match[0]
-        if not any(c in LOOKALIKE for c in word):
-            if not ("Ѐ" <= max(word) <= "ԯ"):
-                return word
-        parts, out = word.split("-"), []
-        tagged = len(parts) > 1 and (_HAS_LATIN.search(word) or any(c.isdigit() for c in word)) or any(c.isdigit() for c in word)
-        for part in parts:
-            own = _PLAIN_CYRILLIC.search(part)
-            if own:  # a Cyrillic word; Latin lookalikes in it are strangers
-                changed = part.translate(_BACK) if _HAS_LATIN.search(part) else part
-            elif _HAS_LATIN.search(part):
-                changed = part.translate(_FOLD)
-            elif any(c in LOOKALIKE for c in part) and all(c in LOOKALIKE or c.isdigit() for c in part):
-                foreign = any(c not in RUSSIAN for c in part if c.isalpha())
-                changed = part.translate(_FOLD) if tagged or foreign or not native else part
-            else:
-                changed = part
-            odd = odd or changed != part
-            out.append(changed)
-        return "-".join(out)
+        if not _HAS_LATIN.search(word) and not any(c in LOOKALIKE for c in word):
+            return word
+        parts = word.split("-")
+        tagged = any(c.isdigit() for c in word) or len(parts) > 1 and bool(_HAS_LATIN.search(word))
+        out = "-".join(_one_script(part, tagged) for part in parts)
+        odd = odd or out != word
+        return out
 
     return _WORD.sub(mend, text), odd
 
 
+def _settled(form: str) -> str:
+    """``form`` folded, composed and mended until nothing changes any more, so that a form is its own form."""
+    _, ignorable, _, letters = _patterns()
+    while True:
+        new = unicodedata.normalize("NFKC", ignorable.sub("", form).translate(_SIGNS).casefold())
+        if letters.search(new):
+            new = _same_script(new)[0]
+        if new == form:
+            return new
+        form = new
+
+
+_SIGNS = str.maketrans(SIGNS)
+
+
 def unify(text: str) -> tuple[str, bool]:
     """The one form of ``text``, and whether it held a character that only looks ordinary or isn't seen."""
     if text.isascii():
@@ -126,15 +168,14 @@ def unify(text: str) -> tuple[str, bool]:
     form = text
     if odd:
         form = ignorable.sub("", unicodedata.normalize("NFKC", ignorable.sub("", form)))
-        form = form.translate(str.maketrans(SIGNS))
+        form = form.translate(_SIGNS)
     elif marks.search(text):
         form = unicodedata.normalize("NFC", text)
         odd = form != text
     if letters.search(form):
         form, strange = _same_script(form)
         odd = odd or strange
-    form = unicodedata.normalize("NFKC", form.casefold())
-    return " ".join(form.split()), odd
+    return " ".join(_settled(form).split()), odd
 
 
 FORM = T.StructType([T.StructField("form", T.StringType()), T.StructField("odd", T.BooleanType())])
@@ -198,8 +239,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each name of subjects and objects in its one form, with how many claims hold it and in how many spellings."""
-    formed = with_forms(table(spark, sf_dir, "graph_claims").select("subject", "object"), ["subject", "object"])
-    both = formed.select(F.explode(F.array(*[F.struct(F.col(f).alias("value"), F.col(f"{f}_form.form").alias("name")) for f in ("subject", "object")])).alias("x")).select("x.*")
-    spelt = both.where("name is not null").groupBy("name", "value").agg(F.count("*").alias("n"))
+    """Each name of subjects and objects in its one form, with how many claims hold it and in how many spellings: the spellings
+    are counted first, and each is brought to its form once."""
+    names = table(spark, sf_dir, "graph_claims").select(F.explode(F.array("subject", "object")).alias("value")).where("value is not null")
+    spelt = names.groupBy("value").agg(F.count("*").alias("n")).withColumn("name", char_form("value")["form"])
     return spelt.groupBy("name").agg(F.sum("n").alias("claims"), F.count("*").alias("spellings"))

@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import table
+from plumbline.session import spread, table
 
 # Single-byte and double-byte decoders that UTF-8 bytes are wrongly read with.
-WRONG_FOR_UTF8 = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866")
+WRONG_FOR_UTF8 = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866")
+# Further single-byte decoders; what tells them apart from those above are their letters and signs, not Han.
+FURTHER_FOR_UTF8 = ("iso8859-15", "cp1250", "iso8859-2", "cp1254", "cp858", "cp852", "cp1257", "mac_cyrillic", "iso8859-5")
 WRONG_WIDE = ("gbk", "cp932", "big5", "cp949")
 # Fixed values: (right, wrong) pairs in which each letter stays one character.
 ONE_TO_ONE = (
@@ -80,20 +82,28 @@ def alphabet() -> list[str]:
 
 @lru_cache(maxsize=1)
 def automaton():
-    """Garbled sequence (two characters or more) -> the character meant."""
+    """Garbled sequence -> (its length, the characters meant under each wrong decoder, in the order of the decoders)."""
     import ahocorasick
 
-    found = ahocorasick.Automaton()
-    for wrong in WRONG_FOR_UTF8:
-        for c in alphabet():
+    found: dict[str, list[tuple[str, str | None]]] = {}
+
+    def add(sequence: str, wrong: str, meant: str | None) -> None:
+        held = found.setdefault(sequence, [])
+        if (wrong, meant) not in held:
+            held.append((wrong, meant))
+
+    letters = alphabet()
+    for wrong in (*WRONG_FOR_UTF8, *FURTHER_FOR_UTF8):
+        for c in letters if wrong in WRONG_FOR_UTF8 else (x for x in letters if x < "一"):
             g = _garbled(c, "utf-8", wrong)
             if g is None or len(g) < 2 or all("А" <= x <= "я" for x in g):  # plain Cyrillic letters prove nothing
                 continue
-            if g not in found:
-                found.add_word(g, (len(g), c))
-            twice = _garbled(g, "utf-8", wrong) if c < "一" else None
-            if twice and twice not in found:
-                found.add_word(twice, (len(twice), c))
+            if wrong in FURTHER_FOR_UTF8 and _ordinary(g):
+                continue
+            add(g, wrong, c)
+            twice = _garbled(g, "utf-8", wrong) if c < "一" and wrong in WRONG_FOR_UTF8 else None
+            if twice:
+                add(twice, wrong, c)
     # the typographic signs read with a double-byte decoder: their first two bytes make one rare character
     for wrong in WRONG_WIDE:
         for c in "–—‘’“”•…€™≤≥℃−":
@@ -103,17 +113,64 @@ def automaton():
             except UnicodeError:
                 continue
             if len(rare) == 1 and rare not in found and not rare.isascii():
-                found.add_word(rare, (1, None))
+                add(rare, wrong, None)
     for c in [*map(chr, range(0xA1, 0x100)), *"ΩμΔβαπσ"]:  # two-byte UTF-8 as a pair of half-width kana
         try:
             kana = c.encode().decode("cp932")
         except UnicodeError:
             continue
-        if len(kana) == 2 and kana not in found:
-            found.add_word(kana, (2, c))
-    found.add_word("锟斤拷", (3, None))
-    found.make_automaton()
-    return found
+        if len(kana) == 2:
+            add(kana, "cp932", c)
+    add("锟斤拷", "gbk", None)
+    machine = ahocorasick.Automaton()
+    for sequence, meant in found.items():
+        machine.add_word(sequence, (len(sequence), tuple(meant)))
+    machine.make_automaton()
+    return machine
+
+
+def _ordinary(sequence: str) -> bool:
+    """Whether a sequence could stand in correct text: letters of one script alone, or a letter before closing punctuation."""
+    return all("Ѐ" <= x <= "ӿ" or x in "«»–—“”„…№" for x in sequence) or all(x.isalpha() and x.islower() for x in sequence)
+
+
+#: Letters and signs, besides ASCII, that correct texts are made of.
+_EXPECTED = frozenset(ACCENTED + RIGHT_INSIDE + "ΩΔβαπσ¿¡«»„“”‚℃≤≥−→×÷±¼½¾£€¥§¶ªº¹⁰⁴⁵⁶⁷⁸⁹ŒÆæ，。：（）；、！？《》【】" + "".join(map(chr, (*range(0x410, 0x450), 0x401, 0x451))))
+
+
+def _strangeness(c: str, before: str, behind: str) -> int:
+    """How odd a character is between its neighbours: 0 for what words and sentences are made of."""
+    if c.isupper() and before.islower():
+        return 2
+    if c < "⺀" and not c.isalnum() and "" < before < "⺀" and before.isalpha() and "" < behind < "⺀" and behind.isalpha() and c not in "’'·-–—\xad/\xa0 ":
+        return 2
+    return 0 if c in _EXPECTED or c in _common_han() else 1
+
+
+def _chosen(text: str, hits: list[tuple[int, int, tuple]]) -> list[str | None]:
+    """The character meant by each hit under the decoder that explains most of them with the least strange result; None
+    where two decoders do so equally well with different results."""
+    votes: dict[str, list[int]] = {}
+    for s, n, meant in hits:
+        for wrong, c in meant:
+            if c is not None:
+                v = votes.setdefault(wrong, [0, 0])
+                v[0] += 1
+                v[1] += _strangeness(c, text[s - 1 : s], text[s + n : s + n + 1])
+    order = [*WRONG_FOR_UTF8, *FURTHER_FOR_UTF8, *WRONG_WIDE]
+    ranked = sorted(votes, key=lambda w: (-votes[w][0], votes[w][1], order.index(w)))
+
+    place = {w: i for i, w in enumerate(ranked)}
+
+    def under(first: str) -> list[str | None]:
+        rank = lambda x: -1 if x[0] == first else place[x[0]]
+        return [min(((w, c) for w, c in meant if c is not None), key=rank, default=(None, None))[1] for _, _, meant in hits]
+
+    if not ranked:
+        return [None] * len(hits)
+    best = under(ranked[0])
+    others = [under(w) for w in ranked[1:] if votes[w] == votes[ranked[0]]]
+    return [None if any(other[i] != c for other in others) else c for i, c in enumerate(best)]
 
 
 @lru_cache(maxsize=1)
@@ -178,13 +235,21 @@ def _quoted(text: str, start: int, end: int) -> bool:
         b += 1
     if any(c.isascii() and c.isalnum() for c in text[a:b]):
         return False
-    before, after = text[max(0, a - 40) : a], text[b : b + 60]
-    sentence = re.split(r"[。\n]|\.\s", before)[-1]
-    if _SHOWING.search(sentence) and re.match(r"[\"'”»’“]?\s*(?:instead|for every|at the|in the|where|rather|statt|au lieu|en lugar|вместо|，|而)", after):
+    if _INSTEAD.match(text, b) and _SHOWING.search(text, _sentence_start(text, a), a):
         return True
-    left = re.split(r"[。\n]|\.\s", text[max(0, a - 80) : a])[-1]
-    right = re.split(r"[。\n]|\.\s", text[b : b + 80])[0]
-    return text[a - 1 : a] in set("“\"'«„‘") and bool(_TOPIC.search(left + right))
+    if text[a - 1 : a] not in _QUOTES:
+        return False
+    end = _SENTENCE_END.search(text, b)
+    return bool(_TOPIC.search(text, _sentence_start(text, a), a) or _TOPIC.search(text, b, end.start() if end else len(text)))
+
+
+_INSTEAD = re.compile(r"[\"'”»’“]?\s*(?:instead|for every|at the|in the|where|rather|statt|au lieu|en lugar|вместо|，|而)")
+_QUOTES = frozenset("“\"'«„‘")
+_SENTENCE_END = re.compile(r"[。\n]|\.\s")
+
+
+def _sentence_start(text: str, at: int) -> int:
+    return max(text.rfind("。", 0, at), text.rfind("\n", 0, at), text.rfind(". ", 0, at)) + 1
 
 
 @lru_cache(maxsize=1)
@@ -193,27 +258,61 @@ def _common_han() -> frozenset[str]:
     return frozenset(bytes([r, c]).decode("gb2312", "ignore") for r in range(0xB0, 0xD8) for c in range(0xA1, 0xFF))
 
 
+#: The most frequent letters of Russian, of which its words are mostly made.
+_FREQUENT = frozenset("оеаинтсрвлкмдпуязыь")
+
+
+def _russian(text: str) -> float:
+    """How much a text of Cyrillic letters looks like Russian words: the share of frequent letters, halved for capitals alone."""
+    words = re.findall(r"[^\W\d_]+", text)
+    if not words or not all(re.fullmatch("[А-ЯЁ]?[а-яё]+|[А-ЯЁ]+", w) for w in words):
+        return 0.0
+    letters = "".join(words)
+    share = sum(c in _FREQUENT for c in letters.lower()) / len(letters)
+    return share if letters[-1].islower() else 0.5 * share
+
+
+def _other(c: str, right: str, wrong: str) -> str | None:
+    """The character that ``c`` was before it was read with ``wrong``, where both encodings have one byte for it."""
+    data = _raw(c, wrong)
+    try:
+        meant = data.decode(right) if data else ""
+    except UnicodeError:
+        return None
+    return meant if len(meant) == 1 else None
+
+
+def _best(candidates: list[tuple[float, str]]) -> str | None:
+    """The candidate with the highest score; "" where another one with a different text comes near it, None without any."""
+    if not candidates:
+        return None
+    candidates.sort(key=lambda x: -x[0])
+    score, text = candidates[0]
+    return "" if any(t != text and t and s >= 0.9 * score for s, t in candidates[1:]) else text
+
+
 def _decoded_run(run: str) -> str | None:
-    """The original of a run under the first pair whose bytes make sense, or None."""
+    """The original of a run of any characters that were UTF-8 bytes read with a double-byte decoder; "" if it is lost."""
+    candidates = []
     for wrong in WRONG_WIDE:
         data = _raw(run, wrong)
         if data is None:
             continue
         text = data.decode("utf-8", "replace")
         lost = text.count("�")
-        if len(text) >= 2 and lost <= 0.12 * len(text) and sum(c in _common_han() or "Ѐ" <= c <= "ӿ" for c in text) >= 0.5 * len(text):
-            return text if not lost else ""
-    return None
+        share = sum(c in _common_han() or "Ѐ" <= c <= "ӿ" for c in text) / len(text)
+        if len(text) >= 2 and lost <= 0.12 * len(text) and share >= 0.5:
+            candidates.append((share, text if not lost and _garbled(text, "utf-8", wrong) == run else ""))
+    return _best(candidates)
 
 
 def _decoded_latin(run: str) -> str | None:
-    """The original of a run of Latin-1 characters that were bytes of a double-byte or Cyrillic encoding, or None."""
+    """The original of a run of Latin-1 characters that were bytes of a double-byte or Cyrillic encoding; "" if it is lost."""
     if data := _raw(run, "cp1252"):
         lost = (text := data.decode("utf-8", "replace")).count("�")
-        if not lost:
-            return text
-        if lost <= 0.2 * len(data) / 2:
-            return None  # broken UTF-8: the automaton's
+        if not lost or lost <= 0.2 * len(data) / 2:
+            return None  # UTF-8, whole or broken: the automaton's
+    candidates = []
     for right, wrong in WIDE_PAIRS:
         data = _raw(run, wrong)
         if data is None:
@@ -223,22 +322,24 @@ def _decoded_latin(run: str) -> str | None:
                 text = part.decode(right)
             except UnicodeError:
                 continue
-            if sum(c in _common_han() for c in text) >= 0.6 * len(text) and len(text) >= 2:
-                return text if part is data else ""
+            share = sum(c in _common_han() for c in text) / max(1, len(text))
+            if share >= 0.6 and len(text) >= 2:
+                candidates.append((share, text if part is data else ""))
+                break
     for right, wrong in CYRILLIC_PAIRS:
         data = _raw(run, wrong)
         try:
             text = data.decode(right) if data else ""
         except UnicodeError:
             continue
-        if len(text) >= 4 and re.fullmatch("[А-ЯЁ]?[а-яё]+|[А-ЯЁ]+", text):
-            return text
-    return None
+        if len(text) >= 4 and re.fullmatch("[А-ЯЁ]?[а-яё]+|[А-ЯЁ]+", text) and _russian(text) >= 0.35:
+            candidates.append((_russian(text), text))
+    return _best(candidates)
 
 
-def damage(text: str, depth: int = 3, whole: bool = True) -> tuple[bool, str | None]:
-    """Whether ``text`` shows a wrong decoding, and the original if all of it can be recovered (``depth`` times
-    over, and by decoding the ``whole`` text anew where a span has no original of its own)."""
+def damage(text: str, depth: int = 3) -> tuple[bool, str | None]:
+    """Whether ``text`` shows a wrong decoding, and the original if all of its damaged spans can be recovered (``depth`` times
+    over); what lies between them is left as it is."""
     if text.isascii():
         return False, None
     p = _patterns()
@@ -253,16 +354,18 @@ def damage(text: str, depth: int = 3, whole: bool = True) -> tuple[bool, str | N
     for m in p["latin_run"].finditer(text):
         if any(c > "\x7f" for c in m[0]) and (original := _decoded_latin(m[0])) is not None:
             add(m.start(), m.end(), original or None)
-    hits = sorted(((end - n + 1, -n, c) for end, (n, c) in automaton().iter(text)), key=lambda x: (x[0], x[1]))
+    met = sorted(((end - n + 1, -n, meant) for end, (n, meant) in automaton().iter(text)), key=lambda x: (x[0], x[1]))
+    met = [(s, -n, meant) for s, n, meant in met]
     cyrillic_only = "РС"
-    hits = [(s, -n, c) for s, n, c in hits]
-    if hits and all(text[s] in cyrillic_only and text[s + 1] in "ё№Ё«»–—“”„…" for s, n, c in hits if n > 1):
-        hits = [h for h in hits if h[1] == 1]  # ordinary Russian with a quotation mark or ё behind a capital
-    last = 0
-    for s, n, c in hits:
-        if s >= last:
-            add(s, s + n, c)
-            last = s + n
+    if met and all(text[s] in cyrillic_only and text[s + 1] in "ё№Ё«»–—“”„…" for s, n, _ in met if n > 1):
+        met = [h for h in met if h[1] == 1]  # ordinary Russian with a quotation mark or ё behind a capital
+    hits, last = [], 0
+    for hit in met:
+        if hit[0] >= last:
+            hits.append(hit)
+            last = hit[0] + hit[1]
+    for (s, n, _), c in zip(hits, _chosen(text, hits)):
+        add(s, s + n, c)
     for m in p["wide_run"].finditer(text):
         if (original := _decoded_run(m[0])) is not None:
             add(m.start(), m.end(), original or None)
@@ -282,9 +385,20 @@ def damage(text: str, depth: int = 3, whole: bool = True) -> tuple[bool, str | N
             letters = [dict(table.get(g, ())).get(best) for g in m[0]]
             add(m.start(), m.end(), "".join(letters) if all(letters) else None)
         if votes[best]:  # the same pair's other letters: the word's ends, capitals
+            struck = bytearray(len(text))
+            for m in inside:
+                struck[m.start()] = 1
+            in_line = [any(struck[a:b]) for a, b in _lines(text)]
+            line = 0
             for i, g in enumerate(text):
+                if g == "\n":
+                    line += 1
+                if not in_line[line]:  # damage of a part of the text: correct lines stay as they are
+                    continue
                 if not taken[i] and g in table and not "ß" <= g <= "ÿ" and (c := dict(table[g]).get(best)) and i + 1 < len(text) and (text[i + 1].isalpha() or text[i - 1 : i].isalpha()):
                     add(i, i + 1, c)
+                elif not taken[i] and not g.isascii() and g not in _EXPECTED and (c := _other(g, *ONE_TO_ONE[best])) and c in _EXPECTED:
+                    add(i, i + 1, c)
     for m in p["koi"].finditer(text):
         a, b = m.start(), m.end()
         raw = _raw(text[a:b], "cp1251")
@@ -297,34 +411,115 @@ def damage(text: str, depth: int = 3, whole: bool = True) -> tuple[bool, str | N
     if not spans:
         return False, None
     spans.sort()
-    if any(original is None for _, _, original in spans):
-        return True, _whole(text) if whole else None
+    # the text, or the lines from the first damaged one to the last, damaged throughout by one pair
+    lines = (text.rfind("\n", 0, spans[0][0]) + 1, text.find("\n", spans[-1][1]) % (len(text) + 1))
+    for region in dict.fromkeys([(0, len(text)), lines]):
+        if (better := _by_pair(text, None, depth, region)) is not None and _sound(better):
+            return True, better
     out, at = [], 0
     for start, end, original in spans:
-        out += [text[at:start], original]
+        out += [text[at:start], original or text[start:end]]
         at = end
     original = "".join([*out, text[at:]])
-    if depth > 1 and original != text:
-        again, better = damage(original, depth - 1, whole)
+    known = all(o is not None for _, _, o in spans)
+    if depth > 1 and known and original != text:
+        again, better = damage(original, depth - 1)
         if again:
             return True, better
-    return True, original
+    if not known or any(map(_unexpected, original)):
+        # some spans have no original of their own, or strange characters are left: one pair has to explain them all
+        better = _by_pair(text, spans, depth)
+        by_automaton = known and not any(_unexpected(c) for _, _, o in spans for c in o)
+        better = better if better is not None or not by_automaton else original
+        return True, better if better is None or _sound(better) else None
+    return True, original if _sound(original) else None
 
 
-def _whole(text: str) -> str | None:
-    """The original of a text that was wrongly decoded as a whole, or None."""
-    for right, wrong in (*(("utf-8", w) for w in (*WRONG_FOR_UTF8, *WRONG_WIDE)), *ONE_TO_ONE, *CYRILLIC_PAIRS, *WIDE_PAIRS):
-        data = _raw(text, wrong)
-        if not data:
-            continue
-        try:
-            original = data.decode(right)
-        except UnicodeError:
-            continue
-        odd = sum(not (c.isascii() or c in ACCENTED or c in RIGHT_INSIDE or "А" <= c <= "ё" or c in _common_han() or c in "，。：（）；、“”„«»") for c in original)
-        if odd <= 0.02 * len(original) and not damage(original, 1, False)[0]:
-            return original
-    return None
+def _sound(text: str) -> bool:
+    """Whether no character of ``text`` is strange where it stands; what isn't sound is not reported as recovered."""
+    return not any(_strangeness(c, text[i - 1 : i], text[i + 1 : i + 2]) > 1 for i, c in enumerate(text) if not c.isascii())
+
+
+def _lines(text: str) -> list[tuple[int, int]]:
+    ends = [*(i for i, c in enumerate(text) if c == "\n"), len(text)]
+    return [(a + 1, b) for a, b in zip([-1, *ends], ends)]
+
+
+def _unexpected(c: str) -> bool:
+    return not c.isascii() and c not in _EXPECTED and c not in _common_han()
+
+
+_STRANGE_RUN = re.compile(r"[^\x00-\x7f](?:[^\x00-\x7f]|[ \xa0](?=[^\x00-\x7f]))*")
+
+
+_PAIRS = (*(("utf-8", w) for w in (*WRONG_FOR_UTF8, *FURTHER_FOR_UTF8, *WRONG_WIDE)), *ONE_TO_ONE, *CYRILLIC_PAIRS, *WIDE_PAIRS)
+
+
+def _by_pair(text: str, spans: list[tuple[int, int, str | None]] | None, depth: int, region: tuple[int, int] | None = None) -> str | None:
+    """The original by the one encoding pair under which every run of characters beyond ASCII in the ``region`` (or, given ``spans``, every one
+    that touches them or holds unexpected characters) decodes to expected characters and is got back by encoding them again;
+    None if no pair does so, or several do with different results. Runs decoded to another damage may go ``depth`` deep."""
+    everything = [(m.start(), m.end()) for m in _STRANGE_RUN.finditer(text, *(region or ()))]
+    hit = bytearray(len(text))
+    for s, e, _ in spans or ():
+        hit[s:e] = b"\x01" * (e - s)
+    found: dict[str, float] = {}
+    for right, wrong in _PAIRS:
+        runs = everything
+        if spans is not None:
+            # beside correct text: only what this decoder can have made
+            made = everything if wrong in WRONG_WIDE else [(m.start(), m.end()) for m in _upper_half(wrong).finditer(text)]
+            runs = [(a, b) for a, b in made if any(hit[a:b]) or any(map(_unexpected, text[a:b]))]
+            if sum(map(sum, (hit[a:b] for a, b in runs))) < sum(hit):
+                continue
+        out, at, size, odd, russian, most = [], 0, 0, 0, [], sum(b - a for a, b in runs)
+        for a, b in runs:
+            data = _raw(text[a:b], wrong)
+            try:
+                part = data.decode(right) if data else None
+            except UnicodeError:
+                part = None
+            if part is None or _garbled(part, right, wrong) != text[a:b]:
+                break
+            whole = text[a - 1 : a] + part + text[b : b + 1]
+            first = min(a, 1)
+            for i, c in enumerate(part):
+                if not c.isascii():
+                    size += 1
+                    odd += _strangeness(c, whole[i + first - 1 : i + first] if i + first else "", whole[i + first + 1 : i + first + 2])
+                    if odd > 0.05 * most and right != "utf-8":  # too strange, whatever comes
+                        break
+            if odd > 0.05 * most and right != "utf-8":
+                break
+            russian += [part] if any("Ѐ" <= c <= "ӿ" for c in part) else []
+            out += [text[at:a], part]
+            at = b
+        else:
+            original = "".join([*out, text[at:]])
+            if original == text or not runs:
+                continue
+            if right == "utf-8" and depth > 1 and damage_shown(original):
+                again, original = damage(original, depth - 1)
+                if original is not None:
+                    found[original] = 1.0
+                continue
+            sound = 1.0 if not russian else _russian(" ".join(russian))
+            if odd <= 0.05 * size and sound >= 0.35 and not damage_shown(original):
+                found[original] = max(found.get(original, 0.0), sound - odd / max(1, size))
+    ranked = sorted(found, key=lambda t: -found[t])
+    return ranked[0] if ranked and all(found[t] < 0.9 * found[ranked[0]] for t in ranked[1:]) else None
+
+
+@lru_cache(maxsize=None)
+def _upper_half(wrong: str) -> re.Pattern:
+    """Runs of the characters that a single-byte decoder makes of the bytes beyond ASCII."""
+    letters = "".join(re.escape(c) for b in range(0x80, 0x100) for c in (_garbled(chr(b), "latin-1", wrong) or ""))
+    return re.compile(f"[{letters}]+")
+
+
+def damage_shown(text: str) -> bool:
+    """Whether ``text`` still shows a sequence of the automaton or a lost character."""
+    return bool(_patterns()["lost"].search(text)) or next(iter(automaton().iter(text)), None) is not None
 
 
 DAMAGE = T.StructType([T.StructField("damaged", T.BooleanType()), T.StructField("original", T.StringType())])
@@ -332,8 +527,10 @@ DAMAGE = T.StructType([T.StructField("damaged", T.BooleanType()), T.StructField(
 
 @F.pandas_udf(DAMAGE)
 def damages(texts: pd.Series) -> pd.DataFrame:
-    found = [(False, None) if t is None else damage(t) for t in texts]
-    return pd.DataFrame({"damaged": [d for d, _ in found], "original": pd.Series([o for _, o in found], dtype=object)})
+    """Once per distinct text of a batch."""
+    codes, distinct = pd.factorize(texts)
+    found = [*map(damage, distinct), (False, None)]
+    return pd.DataFrame({"damaged": [found[c][0] for c in codes], "original": pd.Series([found[c][1] for c in codes], dtype=object)})
 
 
 def damaged_documents(documents: DataFrame) -> DataFrame:
@@ -343,8 +540,8 @@ def damaged_documents(documents: DataFrame) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return damaged_documents(table(spark, sf_dir, "documents")).select("doc_id")
+    return damaged_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id")
 
 
 def p9_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return damaged_documents(table(spark, sf_dir, "documents")).select("doc_id", "original")
+    return damaged_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "original")

@@ -1,4 +1,4 @@
-import unicodedata
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -31,7 +31,35 @@ def test_equal_looks_become_equal():
 @given(st.text(max_size=60))
 def test_form_is_stable(text):
     form, _ = c.unify(text)
-    assert c.unify(form)[0] == form or unicodedata.normalize("NFKC", form) != form or any(ch in c.LOOKALIKE for ch in form)
+    assert c.unify(form)[0] == form
+
+
+def test_form_of_every_character_is_stable():
+    """Alone and inside words of two scripts."""
+    for code in range(sys.maxunicode + 1):
+        if not 0xD800 <= code <= 0xDFFF:
+            form = c.unify(chr(code))[0]
+            assert c.unify(form)[0] == form, hex(code)
+    for code in (*range(0x80, 0x3400), *range(0xA640, 0xABC0), *range(0xF900, 0x10000)):
+        form = c.unify(f"ab{chr(code)}c1 шт{chr(code)}")[0]
+        assert c.unify(form)[0] == form, hex(code)
+
+
+@pytest.mark.parametrize("word", ["сахар", "АО", "АО-", "тест", "Кавитация", "ΝΟΤΟΣ", "cocтaв", "кey", "НС-2", "has"])
+@pytest.mark.parametrize("around", ["{} завод", "Ремонт {}", "the {} pump", "{}, {}", "第{}号 {}"])
+def test_neighbours_count_for_nothing(word, around):
+    text = around.format(word, word)
+    assert c.unify(text)[0] == " ".join(around.format(c.unify(word)[0], c.unify(word)[0]).casefold().split())
+
+
+@pytest.mark.parametrize("text, form", [("тest", "test"), ("нouse", "house"), ("мotor", "motor"), ("ɡear", "gear"), ("ɑlpha", "alpha"), ("Ꭺlpha", "alpha"), ("πump", "nump"), ("ηot", "not"), ("εxit", "exit"), ("ᴀlpha", "alpha"), ("cocтaв", "состав"), ("изoляции", "изоляции"), ("ѕpare", "spare")])
+def test_letters_of_another_script(text, form):
+    assert c.unify(text) == (form, True)
+
+
+@pytest.mark.parametrize("text", ["сахар", "АО", "тест", "ΝΟΤΟΣ", "Καλημέρα", "Ꭰ", "μm", "kΩ", "ΔT", "βγ"])
+def test_words_in_their_own_script(text):
+    assert c.unify(text)[1] is False
 
 
 def test_frame_with_nulls_clashes_and_long_texts(spark):
