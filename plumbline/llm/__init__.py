@@ -18,7 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         grouped_split.p5_found, grouped_split.p5_splits, grouped_split.p5_shares, grouped_split.p5_torn,
         canonical_values.p6_found, canonical_values.p6_unmatched,
         tokenise.p7_ids, tokenise.p7_round_trip,
-        mixing.p8_mixture, mixing.p8_shares,
+        mixing.p8_mixture, mixing.p8_shares, mixing.p8_capped_shares,
         mojibake.p9_found, mojibake.p9_originals,
     )
     return {f.__name__: f for f in functions}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.charforms import folded
-from plumbline.session import table
+from plumbline.session import cut, table
 
 #: Edits allowed for a reference string of at least so many characters; an adjacent swap costs two.
 EDITS = ((4, 1), (6, 2), (9, 3), (12, 4))
@@ -79,21 +79,22 @@ def reference_strings(terms: DataFrame) -> DataFrame:
 
 def _segments(refs: DataFrame) -> DataFrame:
     """Each reference string cut into k+1 segments of nearly equal length: (.., segment, at)."""
-    cut = F.transform(
+    segments = F.transform(
         F.sequence(F.lit(0), F.col("k")),
         lambda i: F.struct(
             F.floor(i * F.length("ref") / (F.col("k") + 1)).cast("int").alias("at"),
             (F.floor((i + 1) * F.length("ref") / (F.col("k") + 1)) - F.floor(i * F.length("ref") / (F.col("k") + 1))).cast("int").alias("len"),
         ),
     )
-    return refs.where("length(ref) > k").select("*", F.explode(cut).alias("c")).select("kind", "ref", "term_id", "k", F.col("c.at").alias("at"), F.col("ref").substr(F.col("c.at") + 1, F.col("c.len")).alias("segment"))
+    return refs.where("length(ref) > k").select("*", F.explode(segments).alias("c")).select("kind", "ref", "term_id", "k", F.col("c.at").alias("at"), F.col("ref").substr(F.col("c.at") + 1, F.col("c.len")).alias("segment"))
 
 
 def match_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     """``values`` (kind, value; distinct) with the column term_id of the entry meant, or ``none``."""
     bare = values.withColumn("bare", _bare(F.col("value")))
     forms = bare.select("kind", "value", F.explode(F.array_distinct(F.array(_latin(F.col("bare")), _han(F.col("bare"))))).alias("form"), _words(F.col("bare")).alias("words")).where("form <> ''")
-    refs = reference_strings(terms)
+    forms = cut(forms)  # each distinct value is brought to its form once; all steps below read that
+    refs = cut(reference_strings(terms))
     equal = forms.join(refs.select("kind", F.col("ref").alias("form"), "term_id"), ["kind", "form"]).select("kind", "value", "term_id", F.lit(0).alias("rank"), F.lit(0).alias("edits"))
 
     # abbreviated words: as many words, each the beginning (three letters at least, or all) of the word meant

@@ -42,8 +42,8 @@ COUNTERS = (1 << 20, 1 << 26)
 BLOCK = 1 << 12
 #: Bits of the bitmap of evaluation shingles for each counter.
 BITS = 8
-#: Longs of the parity sketch; further ones of texts with at least so many words, whose first sketch is full.
-SKETCH, LONG_SKETCH, LONG = 3, 4, 250
+#: Longs of the parity sketch.
+SKETCH = 4
 #: At most this part of the words of the longer text may differ.
 TOLERANCE = 0.1
 WORDS = re.compile(r"[\u3400-\u9fff]|[^\W_\u3400-\u9fff]+")
@@ -63,7 +63,7 @@ def sketch(words: np.ndarray, longs: int, salt: int) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-SKETCHES = [*(f"s{i}" for i in range(SKETCH)), *(f"e{i}" for i in range(LONG_SKETCH))]
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
 HASHES = T.StructType(
     [T.StructField("class", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("words", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in SKETCHES)]
 )
@@ -80,7 +80,6 @@ def text_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     known = _WordHashes()
     for texts in batches:
         classes, sizes, words, sketches = [], [], [], []
-        none = np.zeros(LONG_SKETCH, dtype=np.int64)
         for text in texts:
             found = WORDS.findall(text.casefold() if text.isascii() else unify(text)[0]) if text else []
             if len(known) > KEPT:
@@ -89,13 +88,13 @@ def text_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             classes.append(hashlib.md5(" ".join(found).encode("utf-8", "replace")).digest())
             sizes.append(len(found))
             words.append(array.tobytes())
-            sketches.append(np.concatenate([sketch(array, SKETCH, 0x9E3779B1), sketch(array, LONG_SKETCH, 0x85EBCA77) if len(found) >= LONG else none]))
+            sketches.append(sketch(array, SKETCH, 0x9E3779B1))
         columns = np.array(sketches, dtype=np.int64).reshape(-1, len(SKETCHES))
         yield pd.DataFrame({"class": classes, "n": np.array(sizes, dtype=np.int32), "words": words, **{c: columns[:, i] for i, c in enumerate(SKETCHES)}})
 
 
 def hashed_records(records: DataFrame) -> DataFrame:
-    """(record_id, split, source_name, train, class, n, words, s0.., e0..): the class is the hash of all words, ``words``
+    """(record_id, split, source_name, train, class, n, words, s0..): the class is the hash of all words, ``words``
     holds their 32-bit hashes in order."""
     split = F.lower(F.trim(F.col("metadata.split")))
     rows = records.where(split.isin("train", "validation", "test")).select(F.col("record_id").cast("bigint").alias("record_id"), split.alias("split"), F.col("metadata.source_name").alias("source_name"), text_hashes(counted_text(F.col("messages"))).alias("h"))
@@ -250,8 +249,8 @@ def near_classes(spark: SparkSession, hashed: DataFrame) -> DataFrame:
     ours = ours.select(*(F.col(c).alias(f"a_{c}") for c in ("id", "n", *SKETCHES)), F.explode("shingles").alias("shingle"))
     longer, shorter = F.greatest("n", "a_n"), F.least("n", "a_n")
     most = F.floor(longer * TOLERANCE + 1e-9)
-    flipped = lambda names: reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in names])
-    bounds = (longer - shorter <= most) & (flipped(SKETCHES[:SKETCH]) <= 2 * most) & ((shorter < LONG) | (flipped(SKETCHES[SKETCH:]) <= 2 * most))
+    flipped = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in SKETCHES])
+    bounds = (longer - shorter <= most) & (flipped <= 2 * most)
     pairs = cut(ours.join(theirs, "shingle").where(bounds & (F.col("id") != F.col("a_id"))).select("a_id", "id").distinct())
 
     ids = pairs.select(F.explode(F.array("a_id", "id")).alias("id")).distinct()
