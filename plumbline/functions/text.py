@@ -52,6 +52,7 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[。！？；\n]+"), trimmed), lambda s: s != "")
 
 
+# Fixed values below: the patterns of case names and of ids in brackets.
 def case_label(text: Column) -> Column:
     """``EXT-n`` for the first ``ext-n`` of a text in any letter case, or null."""
     number = F.regexp_extract(F.lower(text), r"ext-(\d+)", 1)
@@ -63,6 +64,11 @@ def bracketed_ids(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[([A-Za-z0-9_.:-]+)\]"), F.lit(1))))
 
 
+def given_ids(text: Column) -> Column:
+    """The distinct ids in brackets at the start of a line, sorted: the evidence that a prompt gives."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?m)^\[([A-Za-z0-9_.:-]+)\]"), F.lit(1))))
+
+
 def redacted(text: Column, pattern: str, label: str) -> Column:
     """``text`` with every match of ``pattern`` replaced by ``label``."""
     return F.regexp_replace(text, pattern, label)

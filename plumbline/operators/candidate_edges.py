@@ -16,8 +16,6 @@ TRIGGERS = (
     ("预防", "prevents", ("预防", "防止", "避免")),
     ("包含", "part_of", ("包含", "包括", "由", "组成")),
 )
-#: Edges kept of one document.
-PER_DOCUMENT = 24
 
 
 def document_sentences(documents: DataFrame) -> DataFrame:
@@ -30,18 +28,19 @@ def mentions(sentence_rows: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, s_no, sentence, name, pos): names of a case that stand in its sentences, at their first place.
 
     Sentences and names meet on case and the name's first two characters, so no sentence is compared with all names of a
-    large case.
+    large case. Of names with one key (blanks and letter case aside) the first in order counts.
     """
     places = F.sequence(F.lit(1), F.length("sentence") - 1)
     grams = sentence_rows.where("length(sentence) > 1").select("*", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("sentence"), i, F.lit(2))))).alias("head"))
-    headed = names.where("length(name) > 1").select("case_id", "name", F.substring("name", 1, 2).alias("head"))
+    distinct = names.where("length(name) > 1").groupBy("case_id", metric_key(F.col("name")).alias("key")).agg(F.min("name").alias("name"))
+    headed = distinct.select("case_id", "name", F.substring("name", 1, 2).alias("head"))
     met = grams.join(headed, ["case_id", "head"]).withColumn("pos", F.expr("instr(sentence, name)"))
     return met.where("pos > 0").select("doc_id", "s_no", "sentence", "name", "pos")
 
 
-def candidate_edges(mention_rows: DataFrame) -> DataFrame:
+def candidate_edges(mention_rows: DataFrame, per_document: int | None = None) -> DataFrame:
     """(doc_id, edge_id, subject, predicate, relation, object, trigger): for each trigger of a sentence the two nearest names
-    before it with the first two behind it; the first occurrence of an edge counts, PER_DOCUMENT of a document are kept."""
+    before it with the first two behind it; the first occurrence of an edge counts; all of a document are kept, or its first ``per_document``."""
     held = mention_rows.groupBy("doc_id", "s_no", "sentence").agg(F.array_sort(F.collect_set(F.struct("pos", "name"))).alias("names")).where("size(names) > 1")
     found = []
     for no, (predicate, relation, markers) in enumerate(TRIGGERS):
@@ -54,5 +53,6 @@ def candidate_edges(mention_rows: DataFrame) -> DataFrame:
     pairs = sided.select("doc_id", "s_no", "no", "predicate", "relation", "trigger", F.explode("left").alias("l"), "right").select("*", F.explode("right").alias("r"))
     edges = pairs.where(metric_key(F.col("l.name")) != metric_key(F.col("r.name"))).select("doc_id", F.struct("s_no", "no", "l.pos", "l.name", F.col("r.pos").alias("rpos"), F.col("r.name").alias("rname")).alias("place"), edge_id(F.col("l.name"), F.col("predicate"), F.col("r.name")).alias("edge_id"), F.col("l.name").alias("subject"), "predicate", "relation", F.col("r.name").alias("object"), "trigger")
     firsts = edges.groupBy("doc_id", "edge_id").agg(F.min(F.struct("place", "subject", "predicate", "relation", "object", "trigger")).alias("e")).select("doc_id", "edge_id", "e.*")
-    kept = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))).where(F.col("rank") <= PER_DOCUMENT)
-    return kept.select("doc_id", "edge_id", "subject", "predicate", "relation", "object", "trigger")
+    if per_document is not None:
+        firsts = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))).where(F.col("rank") <= per_document)
+    return firsts.select("doc_id", "edge_id", "subject", "predicate", "relation", "object", "trigger")

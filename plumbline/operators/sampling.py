@@ -18,13 +18,28 @@ def round_robin(frame: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return frame.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", group).limit(n)
 
 
-def budgeted(frame: DataFrame, prompt: str, answer: str, budget: int) -> DataFrame:
-    """Words that fit: the answer whole, the prompt's last words; labels of the prompt are masked. Rows without an answer
-    or with one over the budget are left out."""
-    p, a = F.size(prompt).cast("bigint"), F.size(answer).cast("bigint")
-    kept = F.least(p, budget - a)
-    rows = frame.where((F.size(answer) > 0) & (F.size(answer) <= budget))
-    return rows.select("record_id", kept.alias("prompt_words"), a.alias("answer_words"), F.greatest(p - (budget - a), F.lit(0)).alias("cut_words"), kept.alias("masked"))
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many tokens two lists have in common from their start."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("bigint"))
+
+
+def budgeted(frame: DataFrame, prompt: str, answer: str, budget: int, mask: str) -> DataFrame:
+    """``frame`` with the lists prompt, words and labels and the number cut: the answer is kept whole, of the prompt as many last
+    words as fit; ``labels`` are the words with the prompt's replaced by ``mask``. Rows without an answer, or for whose
+    prompt a long answer leaves no word, are left out."""
+    n, m = F.size(prompt), F.size(answer)
+    rows = frame.where((m > 0) & ((n + m <= budget) | (m < budget))).withColumn("cut", F.greatest(n + m - budget, F.lit(0)))
+    rows = rows.withColumn("prompt", F.slice(prompt, F.col("cut") + 1, F.greatest(n - F.col("cut"), F.lit(0))))
+    return rows.withColumns({"words": F.concat("prompt", answer), "labels": F.concat(F.transform("prompt", lambda _: F.lit(mask)), F.col(answer))})
+
+
+def padded(frame: DataFrame, batch: str, words: str, pad: str) -> DataFrame:
+    """``frame`` with ``words`` filled up to the longest list of its batch, and the list attention of ones and zeros."""
+    width = F.max(F.size(words)).over(Window.partitionBy(batch))  # a batch is small by design
+    wide = frame.withColumn("_missing", width - F.size(words))
+    ones = F.transform(F.col(words), lambda _: F.lit(1))
+    return wide.withColumns({"attention": F.concat(ones, F.array_repeat(F.lit(0), F.col("_missing"))), words: F.concat(F.col(words), F.array_repeat(F.lit(pad), F.col("_missing")))}).drop("_missing")
 
 
 def literal_table(rows: list[dict], fields: str) -> Column:

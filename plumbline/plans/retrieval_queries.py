@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.lexical import overlap_scores, postings, top_k
+from plumbline.functions.text import case_label, lexical_tokens
+from plumbline.operators.lexical import mode_summary, overlap_scores, postings, tier_modes, top_k
 from plumbline.operators.metrics import ratio
 from plumbline.plans.catalogue import query
 from plumbline.plans.sql import tokens
-from plumbline.session import table
+from plumbline.session import cut, spread, table
 
 _RANKED = f"""WITH entry AS (SELECT doc_id, source, token, count(*) AS n FROM (SELECT doc_id, source, unnest({tokens("text")}) AS token FROM documents WHERE text IS NOT NULL) GROUP BY ALL),
 scored AS (
@@ -20,10 +21,19 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC,
 _OTHER = "d.source IS DISTINCT FROM q.source"
 
 
-def ranked(spark: SparkSession, sf_dir: str, leave_out_group: bool = True, k: int = 10) -> DataFrame:
-    entries = postings(table(spark, sf_dir, "documents"), "doc_id", "source", "text").select(F.col("doc_id").alias("entry"), F.col("source").alias("entry_group"), "token", "n")
-    asked = entries.where("entry % 50 = 0").select(F.col("entry").alias("query"), F.col("entry_group").alias("query_group"), "token", "n")
-    return top_k(overlap_scores(asked, entries, leave_out_group), k)
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of the documents, made once."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return cut(postings(documents, "doc_id", "source", "text").withColumnsRenamed({"doc_id": "entry", "source": "entry_group"}))
+
+
+def _asked(entries: DataFrame) -> DataFrame:
+    return entries.where("entry % 50 = 0").select(F.col("entry").alias("query"), F.col("entry_group").alias("query_group"), "token", "n")
+
+
+def ranked(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    entries = _entries(spark, sf_dir)
+    return top_k(overlap_scores(_asked(entries), entries), k)
 
 
 @query(_RANKED.replace("@LEFT_OUT", _OTHER) + "SELECT query, entry, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10")
@@ -31,23 +41,64 @@ def retrieval_topk_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(spark, sf_dir).select("query", "entry", "score", "rank")
 
 
-@query(_RANKED.replace("@LEFT_OUT", "q.doc_id <> d.doc_id") + """SELECT count(*) AS hits, count(DISTINCT query) AS answered, count_if(entry_source IS NOT DISTINCT FROM query_source) AS same_source,
-  round(count_if(entry_source IS NOT DISTINCT FROM query_source) / count(*), 6) AS same_source_rate, round(avg(score), 6) AS mean_score FROM ranked WHERE rank <= 10""")
+@query(_RANKED.replace("@LEFT_OUT", "q.doc_id <> d.doc_id") + """, best AS (SELECT * FROM ranked WHERE rank <= 10),
+asked AS (SELECT doc_id AS query, source, EXISTS (SELECT 1 FROM documents o WHERE o.source = q.source AND o.doc_id <> q.doc_id AND o.text IS NOT NULL) AS present FROM documents q WHERE doc_id % 50 = 0 AND text IS NOT NULL),
+per AS (SELECT a.query, a.present, count(b.entry) AS n, count(b.entry) FILTER (WHERE b.entry_source IS NOT DISTINCT FROM b.query_source) AS same FROM asked a LEFT JOIN best b USING (query) GROUP BY ALL)
+SELECT count(*) AS queries, count(*) FILTER (WHERE present) AS present, round(count(*) FILTER (WHERE same > 0) / count(*), 6) AS same_source_hit_rate, round(avg(n), 6) AS mean_retrieved, sum(same)::BIGINT AS same_source_hits, (sum(n) - sum(same))::BIGINT AS other_source_hits FROM per""")
 def retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the ten best entries (itself left out) come from the query's own source."""
-    entries = postings(table(spark, sf_dir, "documents"), "doc_id", "source", "text").select(F.col("doc_id").alias("entry"), F.col("doc_id").alias("entry_group"), "token", "n")
-    asked = entries.where("entry % 50 = 0").select(F.col("entry").alias("query"), F.col("entry_group").alias("query_group"), "token", "n")
-    best = top_k(overlap_scores(asked, entries))
-    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
-    best = best.join(sources.select(F.col("doc_id").alias("entry"), F.col("source").alias("entry_source")), "entry").join(sources.select(F.col("doc_id").alias("query"), F.col("source").alias("query_source")), "query")
-    same = F.count_if(F.col("entry_source").eqNullSafe(F.col("query_source")))
-    return best.agg(F.count("*").alias("hits"), F.countDistinct("query").alias("answered"), same.alias("same_source"), ratio(same, F.count("*")).alias("same_source_rate"), F.round(F.avg("score"), 6).alias("mean_score"))
+    """Queries, those whose source has other documents, how many find one of them among the ten best, and hits by source. Only
+    the query itself is left out."""
+    entries = _entries(spark, sf_dir)
+    met = overlap_scores(_asked(entries), entries, leave_out_group=False).where("entry <> query")
+    documents = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source")
+    sources = lambda c: documents.select(F.col("doc_id").alias(c), F.col("source").alias(f"{c}_source"))
+    best = top_k(met).join(sources("entry"), "entry").join(sources("query"), "query").groupBy("query").agg(F.count("*").alias("n"), F.count_if(F.col("entry_source").eqNullSafe(F.col("query_source"))).alias("same"))
+    held = documents.where("source is not null").groupBy(F.col("source").alias("query_source")).agg((F.count("*") > 1).alias("present"))
+    per = sources("query").where("query % 50 = 0").join(held, "query_source", "left").join(best, "query", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    hits = F.sum(zero(F.col("same")))
+    return per.agg(F.count("*").alias("queries"), F.count_if("present").alias("present"), ratio(F.count_if(F.col("same") > 0), F.count("*")).alias("same_source_hit_rate"), F.round(F.avg(zero(F.col("n"))), 6).alias("mean_retrieved"), hits.alias("same_source_hits"), (F.sum(zero(F.col("n"))) - hits).alias("other_source_hits"))
+
+
+_CLAIM = "concat_ws(' ', coalesce(subject, ''), coalesce(predicate, ''), coalesce(object, ''))"
+_MODES = f"""WITH tok AS (SELECT claim_row AS entry, nullif('EXT-' || regexp_extract(lower(run_id), 'ext-(\\d+)', 1), 'EXT-') AS grp, coalesce(len(evidence_ids), 0) > 0 AS confirmed, unnest({tokens(_CLAIM)}) AS token FROM graph_claims),
+entry AS (SELECT *, count(*) AS n FROM tok GROUP BY ALL), qtok AS (SELECT doc_id AS query, nullif('EXT-' || regexp_extract(lower(case_id), 'ext-(\\d+)', 1), 'EXT-') AS grp, unnest({tokens("text")}) AS token FROM documents WHERE text IS NOT NULL AND doc_id % 50 = 0),
+q AS (SELECT *, count(*) AS n FROM qtok GROUP BY ALL), scored AS (SELECT q.query, e.entry, e.confirmed, sum(least(q.n, e.n))::DOUBLE AS score FROM q JOIN entry e ON e.token = q.token WHERE e.grp IS DISTINCT FROM q.grp GROUP BY ALL),
+moded AS (SELECT s.*, m.mode FROM scored s JOIN (VALUES ('confirmed_only', true), ('confirmed_plus_candidate', true), ('confirmed_plus_candidate', false)) m(mode, c) ON m.c = s.confirmed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY mode, query ORDER BY score DESC, entry::VARCHAR)::INTEGER AS rank FROM moded), best AS (SELECT * FROM ranked WHERE rank <= 10)"""
+
+
+def _moded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, best): documents against claims of other cases, the confirmed ones being those that cite evidence."""
+    text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("subject", "predicate", "object")])
+    claims = spread(table(spark, sf_dir, "graph_claims").select("claim_row", "run_id", "subject", "predicate", "object", (F.coalesce(F.size("evidence_ids"), F.lit(0)) > 0).alias("confirmed")))
+    claims = claims.select("claim_row", F.struct(case_label(F.col("run_id")).alias("grp"), "confirmed").alias("g"), text.alias("text"))
+    entries = postings(claims, "claim_row", "g", "text").select(F.col("claim_row").alias("entry"), F.col("g.grp").alias("entry_group"), F.col("g.confirmed").alias("confirmed"), "token", "n")
+    documents = spread(table(spark, sf_dir, "documents").where("doc_id % 50 = 0 and text is not null").select("doc_id", case_label(F.col("case_id")).alias("grp"), "text"))
+    asked = postings(documents, "doc_id", "grp", "text").select(F.col("doc_id").alias("query"), F.col("grp").alias("query_group"), "token", F.col("n").alias("qn"))
+    met = entries.join(asked, "token").where(~F.col("entry_group").eqNullSafe(F.col("query_group")))
+    scores = met.groupBy("query", "entry", "confirmed").agg(F.sum(F.least("qn", "n")).cast("double").alias("score"))
+    return documents.select(F.col("doc_id").alias("query")), tier_modes(scores)
+
+
+@query(_MODES + " SELECT mode, query, entry, confirmed, score, rank FROM best")
+def retrieval_tier_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best claims for each query document, among confirmed claims alone and among all; its own case left out."""
+    return _moded(spark, sf_dir)[1].select("mode", "query", "entry", "confirmed", "score", "rank")
+
+
+@query(_MODES + """, per AS (SELECT mode, query, count(*) AS n, count(*) FILTER (WHERE NOT confirmed) AS candidates FROM best GROUP BY ALL), asked AS (SELECT count(DISTINCT doc_id) AS queries FROM documents WHERE text IS NOT NULL AND doc_id % 50 = 0)
+SELECT mode, queries, round(sum(n) / queries, 6) AS mean_retrieved, round(count(*) / queries, 6) AS answered_rate, round(sum(candidates) / sum(n), 6) AS candidate_share FROM per, asked GROUP BY mode, queries""")
+def retrieval_tier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mode_summary(*_moded(spark, sf_dir))
 
 
 @query(f"""WITH token AS (SELECT doc_id, source, unnest({tokens("text")}) AS token FROM documents WHERE text IS NOT NULL)
 SELECT source, count(*) AS tokens, count(DISTINCT token) AS distinct_tokens, count(DISTINCT doc_id) AS documents FROM token GROUP BY source""")
 def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = postings(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
-    by_token = held.groupBy("source", "token").agg(F.sum("n").alias("n")).groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct_tokens"))
-    by_document = held.select("source", "doc_id").distinct().groupBy("source").agg(F.count("*").alias("documents"))
-    return by_token.join(by_document, by_token["source"].eqNullSafe(by_document["source"])).select(by_token["source"], "tokens", "distinct_tokens", "documents")
+    """Tokens, distinct tokens and documents with any token per source. One pass: a document's tokens are counted where it is
+    read, and each document is told by its first token."""
+    listed = spread(table(spark, sf_dir, "documents").select("source", "text")).where("text is not null").select("source", lexical_tokens(F.col("text")).alias("t"))
+    each = listed.select("source", F.posexplode("t").alias("place", "token"))
+    by_token = each.groupBy("source", "token").agg(F.count("*").alias("n"), F.count_if(F.col("place") == 0).alias("first"))
+    return by_token.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct_tokens"), F.sum("first").alias("documents"))
