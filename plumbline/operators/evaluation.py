@@ -104,9 +104,11 @@ def resume_plan(planned: DataFrame, results: DataFrame, key: str, order: list[st
 
 
 def first_success(attempts: DataFrame, key: str, order: list[str], done: Column) -> DataFrame:
-    """(key, attempts, successful_at): the number of a key's attempts and of the first that was successful, null if none was."""
-    placed = attempts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, done.alias("done")))).alias("tried"))  # a key's own attempts
-    return placed.select(key, F.size("tried").alias("attempts"), F.nullif(F.array_position(F.transform("tried", lambda t: t["done"]), True), F.lit(0)).alias("successful_at"))
+    """(key, attempts, successful_at): the number of a key's attempts and which of them was the first successful one, null if
+    none was. Counted, not collected: a key may have any number of attempts."""
+    placed = attempts.select(key, F.struct(*order).alias("at"), done.alias("done"))
+    first = placed.where("done").groupBy(key).agg(F.min("at").alias("first"))
+    return placed.join(first, key, "left").groupBy(key).agg(F.count("*").alias("attempts"), F.nullif(F.count_if(F.col("at") <= F.col("first")), F.lit(0)).alias("successful_at"))
 
 
 def matched(left: DataFrame, right: DataFrame, on: list[str], what: str) -> DataFrame:

@@ -110,11 +110,16 @@ def resolved_types(claims: DataFrame) -> DataFrame:
     return found.select("claim_row", *[F.coalesce(f"{n}_type", f"{n}_by_id", f"{n}_by_name").alias(f"{n}_type") for n in ("subject", "object")])
 
 
-def cited_excerpts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(claim_row, excerpts): the excerpts that a claim cites, in order, joined by blanks; the run's last excerpt of an id
-    counts, an unknown id is empty."""
+def cited_evidence(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(claim_row, evidence): what a claim cites, in order, as array<struct<source_id, excerpt>>; the run's last excerpt of an
+    id counts, an unknown id is empty."""
     last = evidence.groupBy("run_id", "source_id").agg(F.max_by(F.coalesce("excerpt", F.lit("")), "evidence_row").alias("excerpt"))
     cited = claims.select("claim_row", "run_id", F.posexplode("evidence_ids").alias("pos", "source_id"))
     met = cited.join(last, ["run_id", "source_id"], "left")
-    placed = met.groupBy("claim_row").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("excerpt", F.lit("")).alias("excerpt")))).alias("x"))  # a claim's own citations
-    return placed.select("claim_row", F.array_join(F.transform("x", lambda e: e["excerpt"]), " ").alias("excerpts"))
+    placed = met.groupBy("claim_row").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("source_id", F.lit("")).alias("source_id"), F.coalesce("excerpt", F.lit("")).alias("excerpt")))).alias("x"))  # a claim's own citations
+    return placed.select("claim_row", F.transform("x", lambda e: F.struct(e["source_id"].alias("source_id"), e["excerpt"].alias("excerpt"))).alias("evidence"))
+
+
+def cited_excerpts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(claim_row, excerpts): the excerpts that a claim cites, in order, joined by blanks."""
+    return cited_evidence(claims, evidence).select("claim_row", F.array_join(F.transform("evidence", lambda e: e["excerpt"]), " ").alias("excerpts"))

@@ -11,6 +11,7 @@ from plumbline.operators import graph_checks as checks
 from plumbline.operators.candidate_edges import TRIGGERS, document_sentences, mentions
 from plumbline.operators.candidate_edges import candidate_edges as edges_of
 from plumbline.operators.metrics import micro_prf, ratio, set_counts
+from plumbline.operators.normalise import TYPE_ALIASES, canonical_types, claim_ids, evidence_block
 from plumbline.plans.catalogue import query
 from plumbline.plans.sql import KEYED, comparison_keys, key, trimmed
 from plumbline.session import spread, table
@@ -193,3 +194,29 @@ def candidate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _claims(spark, sf_dir).select(case_label(F.col("run_id")).alias("case_id"), ends).distinct()
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "case_id", "text")).withColumn("case_id", case_label(F.col("case_id")))
     return edges_of(mentions(document_sentences(documents), names))
+
+
+_PLAIN_TYPE = f"nullif({trimmed('{0}')}, '')"
+_MEANT = "coalesce(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in TYPE_ALIASES.items()) + "}[{0}], {0})"
+
+
+@query(f"""WITH t AS (SELECT claim_row, unnest(['subject_type', 'object_type']) AS field, unnest([subject_type, object_type]) AS original FROM graph_claims), n AS (SELECT *, {_PLAIN_TYPE.replace("{0}", "original")} AS plain FROM t)
+SELECT claim_row, field, original, {_MEANT.replace("{0}", "plain")} AS canonical FROM n WHERE plain IS NOT NULL AND {_MEANT.replace("{0}", "plain")} <> original""")
+def claims_type_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of types rewritten: labels that stand for another one, and outer blanks."""
+    changed = canonical_types(_claims(spark, sf_dir)).select("claim_row", F.explode("changes").alias("c"))
+    return changed.select("claim_row", "c.field", "c.original", "c.canonical")
+
+
+@query("SELECT claim_row, coalesce(claim_id, run_id || '-claim-' || CASE WHEN claim_index < 1000 THEN lpad(claim_index::VARCHAR, 3, '0') ELSE claim_index::VARCHAR END) AS claim_id FROM graph_claims")
+def claims_default_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claim_ids(_claims(spark, sf_dir)).select("claim_row", "claim_id")
+
+
+@query("""WITH last AS (SELECT run_id, source_id, arg_max(coalesce(excerpt, ''), evidence_row) AS excerpt FROM evidence_refs GROUP BY ALL),
+cited AS (SELECT claim_row, run_id, unnest(evidence_ids) AS source_id, generate_subscripts(evidence_ids, 1) AS pos FROM graph_claims)
+SELECT c.claim_row, count(*) AS items, md5(string_agg('[' || coalesce(c.source_id, '') || '] ' || coalesce(l.excerpt, ''), chr(10) ORDER BY c.pos)) AS block FROM cited c LEFT JOIN last l ON l.run_id = c.run_id AND l.source_id = c.source_id GROUP BY c.claim_row""")
+def claims_evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each claim cites as a prompt gives it, line by line, as a hash."""
+    cited = checks.cited_evidence(_claims(spark, sf_dir), table(spark, sf_dir, "evidence_refs"))
+    return cited.select("claim_row", F.size("evidence").cast("bigint").alias("items"), F.md5(evidence_block(F.col("evidence"))).alias("block"))

@@ -296,12 +296,11 @@ def latest_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resume_plan(table(spark, sf_dir, "graph_claims").where("run_id is not null"), table(spark, sf_dir, "review_issues"), "run_id", ["created_at", "issue_row"], "decision", ("approve", "reject"))
 
 
-@query("""WITH placed AS (SELECT run_id, decision, row_number() OVER (PARTITION BY run_id ORDER BY created_at, issue_row) AS n FROM review_issues WHERE run_id <> 'X0_backfill--ext-1')
+@query("""WITH placed AS (SELECT run_id, decision, row_number() OVER (PARTITION BY run_id ORDER BY created_at, issue_row) AS n FROM review_issues)
 SELECT run_id, count(*) AS attempts, min(n) FILTER (WHERE decision = 'approve') AS successful_at FROM placed GROUP BY run_id""")
 def retry_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per run: the number of reviews and which of them was the first to approve; the backfill, which retries nothing, aside."""
-    tried = first_success(table(spark, sf_dir, "review_issues").where("run_id <> 'X0_backfill--ext-1'"), "run_id", ["created_at", "issue_row"], F.col("decision") == "approve")
-    return tried.select("run_id", F.col("attempts").cast("bigint").alias("attempts"), "successful_at")
+    """Per run: the number of reviews and which of them was the first to approve."""
+    return first_success(table(spark, sf_dir, "review_issues"), "run_id", ["created_at", "issue_row"], F.col("decision") == "approve")
 
 
 @query("""SELECT teacher_model_profile, count(*) AS issues, count_if(decision = 'approve') AS approved, round(count_if(decision = 'approve') / count(*), 6) AS approval_rate,

@@ -44,6 +44,7 @@ def test_checks(spark):
         ], CLAIM,
     )
     keyed = checks.keyed_claims(claims)
+    assert {r.claim_row: r.s_key for r in checks.keyed_claims(spark.createDataFrame([claim(1, " Ｖａｌｖｅ  A ", "x", "STRASSE"), claim(2, None, "x", "")], CLAIM)).collect()} == {1: "valve a", 2: None}
     assert [r.claim_row for r in checks.incomplete(keyed).collect()] == [5]
     assert [r.claim_row for r in checks.self_loops(keyed).collect()] == [4]
     assert [(r.run_id, r.s_key, r.n) for r in checks.duplicates(keyed).collect()] == [("r", "a", 3)]
@@ -144,3 +145,146 @@ def test_queries_against_sql(spark):
         theirs = sorted(str([plain(dict(zip(columns, r))[c]) for c in order]) for r in result.fetchall())
         assert sorted(columns) == order and ours == theirs, name
     assert entry.entry(spark).count() > 0
+
+
+def test_json_walker(spark):
+    from plumbline.functions import jsonwalk as j
+
+    deep = {"a": [{"evidence_ids": ["e1", 2, "e]2"], "statement": " S 1 "}], "b": {"c": {"evidence_ids": ["e1"], "content": ""}}, "entities": [{"name": "A b"}, "no", {"name": None}], "claims": [{"subject": "s", "predicate": "p", "object": 3}, {"subject": ""}]}
+    valid, keys, evidence, statements, entities, claims = j.held(json.dumps(deep))
+    assert (valid, keys, evidence, statements, entities, claims) == (True, ["a", "b", "claims", "entities"], ["e1", "e]2"], [" S 1 "], ["A b"], [{"subject": "s", "predicate": "p", "object": "3"}])
+    assert all(not j.held(t)[0] for t in ("", "[1]", "{", "1", "[" * 100_000))
+    assert j.first_object('so {"x": 1} and {"a": {"b": 2}, "c": 3} {"a": 1}', ("a", "c"), True) == '{"a":{"b":2},"c":3}' and j.first_object("{{{", ("a",), True) is None
+    assert j.first_object('{"z": 1, "q": "{\\"a\\": 1}"}', ("a", "z"), False) == '{"q":"{\\"a\\": 1}","z":1}'
+    assert j.canonical('{"b": 1, "a": "é"}') == j.canonical('{ "a":"é","b":1}') and j.canonical("x") is None
+    rows = spark.createDataFrame([(1, '{"k": ["sk-abcdefgh12", {"sk-abcdefgh12": "see sk-ABCDEFGH_-9."}]}'), (2, "plain sk-abcdefgh12 text"), (3, None), (3, None)], "id int, t string")
+    got = sorted(((r.id, r.t, r.f is None) for r in rows.select("id", j.json_redacted("t").alias("t"), j.json_fingerprint("t").alias("f")).collect()), key=str)
+    assert got == [(1, '{"k": ["[REDACTED_API_KEY]", {"sk-abcdefgh12": "see [REDACTED_API_KEY]."}]}', False), (2, "plain [REDACTED_API_KEY] text", True), (3, None, True), (3, None, True)]
+    errors = spark.createDataFrame([('{"error": {"type": "t", "code": 5, "message": "m"}}',), ("no",), (None,)], "p string").select(j.error_details(F.col("p")).alias("e")).collect()
+    assert [tuple(r.e) for r in errors] == [("t", None, "m"), (None, None, None), (None, None, None)]
+    parts = "array<struct<type string, content array<struct<type string, text string>>>>"
+    rows = spark.createDataFrame([(" x ", None), ("", [("other", None), ("message", [("output_text", " y ")])]), (None, [])], f"d string, o {parts}")
+    assert [r.t for r in rows.select(j.response_text(F.col("d"), F.col("o")).alias("t")).collect()] == ["x", "y", None]
+
+
+def test_set_scores(spark):
+    from plumbline.operators.evaluation import micro_scores, scored_samples
+
+    sets = "struct<entity array<string>, claim array<string>, statement array<string>, evidence array<string>>"
+    rows = [("a1", (["a", "b"], [], [], []), (["a"], ["c"], [], [])), ("a3", ([], [], [], ["e"]), ([], [], ["s"], [])), ("a1", (["z"], [], [], []), ([], [], [], []))]
+    scored = scored_samples(spark.createDataFrame(rows, f"role string, sets {sets}, gold_sets {sets}")).collect()
+    got = {(r.role, r.metric, r.predicted, r.gold): (r.precision, r.recall, r.f1) for r in scored}
+    assert got[("a1", "entity", 2, 1)] == (0.5, 1.0, 0.666667) and got[("a1", "evidence", 0, 0)] == (1.0, 1.0, 1.0) and got[("a1", "claim", 0, 1)] == (0.0, 0.0, 0.0)
+    assert got[("a3", "evidence", 1, 0)] == (0.0, 1.0, 0.0) and got[("a3", "statement", 0, 1)] == (0.0, 0.0, 0.0) and got[("a1", "entity", 1, 0)] == (0.0, 1.0, 0.0)
+    micro = {r.metric: (r.available, r.correct, r.predicted, r.gold, r.precision, r.recall) for r in micro_scores(scored_samples(spark.createDataFrame(rows, f"role string, sets {sets}, gold_sets {sets}")), []).collect()}
+    assert micro["entity"] == (2, 1, 3, 1, 0.333333, 1.0) and micro["statement"] == (1, 0, 0, 1, 0.0, 0.0)
+
+
+def test_decision_evaluation(spark):
+    from plumbline.operators.evaluation import decision_evaluation
+
+    audits = spark.createDataFrame([("1", " Accept ", 1), ("1", "reject", 2), ("2", "hold", 1), ("3", "accept", 1), ("4", "what", 1), (None, "hold", 1), ("6", "accept", 1)], "id string, decision string, place int")
+    gold = spark.createDataFrame([("1", "reject", 1), ("1", "accept", 2), ("2", "HOLD", 1), ("3", "reject", 1), ("4", "hold", 1), ("5", None, 1), ("5", "hold", 2), ("", "hold", 1), ("6", "accept", 1)], "id string, label string, place int")
+    r = decision_evaluation(audits, gold, ("accept", "hold", "reject")).first()
+    assert (r.gold_ids, r.pending, r.missing_audits, r.repeated_gold_rows, r.repeated_audit_ids, r.evaluated) == (6, 1, 1, 2, 1, 4)
+    assert (r.accuracy, r.macro_f1, r.accepted_error_rate, r.unsafe_accept_rate, r.over_rejection_rate, r.undecided_capture_rate) == (0.75, 0.777778, 0.5, 0.5, 0.0, 1.0)
+    unknown = spark.createDataFrame([("2", "perhaps", 1)], "id string, label string, place int")
+    assert decision_evaluation(audits, unknown, ("accept", "hold", "reject"), strict=False).first().unknown == 1
+    with pytest.raises(Exception, match="perhaps"):
+        decision_evaluation(audits, unknown, ("accept", "hold", "reject")).collect()
+    empty = decision_evaluation(audits.limit(0), gold.limit(0), ("accept", "hold", "reject")).first()
+    assert (empty.gold_ids, empty.evaluated, empty.accuracy, empty.macro_f1) == (0, 0, None, None)
+
+
+def test_resume_and_strict_joins(spark):
+    from plumbline.operators.evaluation import first_success, matched, resume_plan, run_summary
+
+    results = spark.createDataFrame([("a", 1, "failed", 5.0), ("a", 2, "complete", None), ("b", 1, "complete", 1.0), ("b", 2, "failed", 3.0)], "run string, at int, status string, latency double")
+    planned = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "run string")
+    assert {tuple(r) for r in resume_plan(planned, results, "run", ["at"], "status", ("complete",)).collect()} == {("a", "complete", 2, False), ("b", "failed", 2, True), ("c", None, 0, True)}
+    assert {tuple(r) for r in first_success(results, "run", ["at"], F.col("status") == "complete").collect()} == {("a", 2, 2), ("b", 2, 1)}
+    r = run_summary(results, [], "status", "complete", ("complete", "blocked"), "latency").first()
+    assert (r.results, r.complete, r.ended, r.completion_rate, r.mean_latency) == (4, 2, 2, 1.0, 3.0)
+    assert matched(results, planned.distinct(), ["run"], "results").count() == 4
+    with pytest.raises(Exception, match="no match for c"):
+        matched(planned, results.select("run").distinct(), ["run"], "runs").collect()
+
+
+def test_windows_and_padding(spark):
+    from plumbline.operators.sampling import budgeted, common_prefix, padded
+
+    rows = spark.createDataFrame([(1, list("abcd"), list("xy")), (2, list("ab"), list("x")), (3, ["a"], list("vwxyz")), (4, ["a"], []), (5, [], ["x"])], "id int, p array<string>, a array<string>")
+    got = {r.id: (r.prompt, r.words, r.labels, r.cut) for r in budgeted(rows, "p", "a", 4, "-100").collect()}
+    assert got == {1: (["c", "d"], list("cdxy"), ["-100", "-100", "x", "y"], 2), 2: (["a", "b"], list("abx"), ["-100", "-100", "x"], 0), 5: ([], ["x"], ["x"], 0)}
+    pads = {r.id: (r.a, r.attention) for r in padded(rows.where("id < 4").withColumn("batch", F.lit(1)), "batch", "a", "_").collect()}
+    assert pads[2] == (["x", "_", "_", "_", "_"], [1, 0, 0, 0, 0]) and pads[3][1] == [1] * 5
+    both = spark.createDataFrame([(list("abc"), list("abd")), (list("ab"), list("abd")), ([], list("a")), (list("a"), list("b"))], "a array<string>, b array<string>")
+    assert [r.n for r in both.select(common_prefix(F.col("a"), F.col("b")).alias("n")).collect()] == [2, 2, 0, 0]
+
+
+def test_normalisation(spark):
+    from plumbline.operators.normalise import canonical_types, claim_ids, evidence_aliases, evidence_block
+
+    claims = spark.createDataFrame([(1, "r", 7, None, " component", "valve"), (2, "r", 1234, "own", None, " "), (3, "r", 1, None, "action", "action")], "claim_row int, run_id string, claim_index int, claim_id string, subject_type string, object_type string")
+    got = {r.claim_row: (r.claim_id, r.subject_type, r.object_type, [tuple(c) for c in r.changes]) for r in claim_ids(canonical_types(claims)).collect()}
+    assert got[1] == ("r-claim-007", "equipment_or_component", "valve", [("subject_type", " component", "equipment_or_component")])
+    assert got[2] == ("own", None, None, []) and got[3][1:3] == ("corrective_action", "corrective_action") and len(got[3][3]) == 2
+    assert claim_ids(claims.where("claim_row = 2").withColumn("claim_id", F.lit(None).cast("string"))).first().claim_id == "r-claim-1234"
+    evidence = spark.createDataFrame([("processed_data", None, None, "e1"), (None, "processed_data/x", "s", None), ("rule", None, None, None)], "source_type string, source_file string, source_id string, evidence_id string")
+    rows = [(r.source_type, r.source_id, [c.original for c in r.changes]) for r in evidence_aliases(evidence, F.array(F.lit("only"))).collect()]
+    assert rows == [("input_text", "e1", ["processed_data", "evidence_id"]), ("input_text", "s", ["missing_processed_data_path"]), ("rule", "only", ["missing_singleton_context"])]
+    assert [r.source_id for r in evidence_aliases(evidence).collect()] == ["e1", "s", None]
+    block = spark.createDataFrame([([("a", "x"), ("b", None)],)], "e array<struct<source_id string, excerpt string>>").select(evidence_block(F.col("e")).alias("b")).first().b
+    assert block == "[a] x\n[b] "
+
+
+def test_tier_modes(spark):
+    from plumbline.operators.lexical import mode_summary, tier_modes
+
+    scores = spark.createDataFrame([(1, 10, True, 2.0), (1, 11, False, 3.0), (1, 12, True, 0.0), (2, 11, False, 1.0)], "query int, entry int, confirmed boolean, score double")
+    queries = spark.createDataFrame([(1,), (2,), (3,)], "query int")
+    best = tier_modes(scores, 1)
+    assert {(r.mode, r.query, r.entry) for r in best.collect()} == {("confirmed_only", 1, 10), ("confirmed_plus_candidate", 1, 11), ("confirmed_plus_candidate", 2, 11)}
+    assert {tuple(r) for r in mode_summary(queries, best).collect()} == {("confirmed_only", 3, 0.333333, 0.333333, 0.0), ("confirmed_plus_candidate", 3, 0.666667, 0.666667, 1.0)}
+
+
+def test_all_edges_of_a_document(spark):
+    """A document may have any number of edges; a limit is the caller's."""
+    from plumbline.operators.candidate_edges import candidate_edges, document_sentences, mentions
+
+    text = "。".join(f"甲{i:02d}泵造成乙{i:02d}阀停机" for i in range(30))
+    docs = spark.createDataFrame([(1, "c", text)], "doc_id bigint, case_id string, text string")
+    names = spark.createDataFrame([("c", f"{a}{i:02d}{b}") for i in range(30) for a, b in (("甲", "泵"), ("乙", "阀"))], "case_id string, name string")
+    found = mentions(document_sentences(docs), names)
+    assert candidate_edges(found).count() == 30 and candidate_edges(found, 24).count() == 24
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from plumbline.sources import jsonl as s
+
+    path = tmp_path / "a.jsonl"
+    path.write_text("".join(f'{{"id": {i}}}\n' if i != 7 else "broken\n" for i in range(20)) + "\n", encoding="utf-8")
+    assert [r.place.rsplit("/", 1)[1] for r in s.broken_lines(spark, str(path)).collect()] == ["a.jsonl:8"]
+    for name in ("n2", "n1", "x3"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"id": int(name[1])}))
+    assert sorted(r.id for r in s.read_sorted(spark, str(tmp_path), "n*.json", "id bigint").collect()) == [1, 2]
+    assert [r.id for r in s.read_sorted(spark, str(tmp_path), "n*.json", "id bigint", 1).collect()] == [1]
+    two = {"second": str(tmp_path / "x3.json"), "first": str(tmp_path / "n1.json")}
+    assert [(r.id, r.source_name) for r in s.read_sources(spark, two, "id bigint", 1).collect()] == [(3, "second")]
+    assert s.first_record(spark, two["first"], "id bigint").first().id == 1
+    (tmp_path / "none.json").write_text("")
+    with pytest.raises(ValueError):
+        s.first_record(spark, str(tmp_path / "none.json"), "id bigint")
+    (tmp_path / "old.jsonl").write_text('{"experiment_id": "x", "run_id": "1", "status": "complete"}\n{"experiment_id": "x", "run_id": "2", "status": "running"}\n{broken\n{"experiment_id": "y", "run_id": "3", "status": "complete"}\n')
+    assert [r.run_id for r in s.earlier_results(spark, str(tmp_path / "old.jsonl"), "experiment_id string, run_id string, status string", "x", ("complete",)).collect()] == ["1"]
+    rows = spark.createDataFrame([(1, "key sk-abcdefgh12 " + "x" * 900, True), (2, "fine", False)], "id int, t string, bad boolean")
+    for _ in range(2):
+        s.append_jsonl(rows, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 4
+    s.write_failures(rows, str(tmp_path / "failed"), F.col("bad"), "t")
+    failed = spark.read.json(str(tmp_path / "failed")).collect()
+    assert len(failed) == 1 and failed[0].t.startswith("key [REDACTED_API_KEY] x") and len(failed[0].t) < 410
+    s.write_summary(rows.agg(F.count("*").alias("n")), str(tmp_path / "summary"))
+    assert spark.read.json(str(tmp_path / "summary")).first().n == 2
+    with pytest.raises(Exception, match="one row"):
+        s.write_summary(rows, str(tmp_path / "summary2"))
