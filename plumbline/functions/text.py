@@ -75,8 +75,15 @@ def redacted(text: Column, pattern: str, label: str) -> Column:
 
 
 def safe_name(text: Column) -> Column:
-    """Letters, digits, hyphen and underscore kept, anything else a hyphen."""
-    return F.regexp_replace(text, r"[^A-Za-z0-9_-]", "-")
+    """Letters and digits of any script, hyphen and underscore kept, anything else a hyphen."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}_-]", "-")
+
+
+def run_name(experiment: Column, sample_id: Column, record: Column) -> Column:
+    """A stable name of a run, fit for a file: experiment and sample, or, without a sample_id, 12 digits of the hash of the
+    record (canonical JSON)."""
+    named = F.coalesce(trimmed(sample_id), F.lit("")) != ""
+    return F.concat(experiment, F.lit("--"), F.when(named, safe_name(sample_id)).otherwise(F.concat(F.lit("unlabeled-"), F.substring(F.sha2(record, 256), 1, 12))))
 
 
 def edge_id(subject: Column, predicate: Column, target: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.jsonwalk import canonical_json, json_held, json_in_prose
-from plumbline.functions.text import BLANK, bracketed_ids, case_label, given_ids, metric_key, question_answers, redacted, role, safe_name
+from plumbline.functions.text import BLANK, bracketed_ids, case_label, given_ids, metric_key, question_answers, redacted, role, run_name, safe_name
 from plumbline.operators.evaluation import decision_evaluation, first_success, keyed_sets, micro_scores, prf, resume_plan, run_summary, scored_samples
 from plumbline.operators.metrics import class_metrics, confusion, ratio
 from plumbline.operators.sampling import budgeted, padded, round_robin, weighted_draws
@@ -55,7 +55,7 @@ def chat_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).select("record_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in broken.items()]))).alias("violation"))
 
 
-_PARTS = """part AS (SELECT record_id, metadata.split AS split, md5(regexp_replace(lower(array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), ' ')), '%s', '', 'g')) AS content FROM chat_records WHERE metadata.split IS NOT NULL)""" % SQL_BLANK
+_PARTS = """part AS (SELECT record_id, lower(trim(metadata.split)) AS split, md5(regexp_replace(lower(array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), ' ')), '%s', '', 'g')) AS content FROM chat_records WHERE metadata.split IS NOT NULL)""" % SQL_BLANK
 
 
 @query(f"""WITH {_PARTS}, held AS (SELECT DISTINCT split, content FROM part)
@@ -66,17 +66,17 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each content meets the few splits that hold it within its own group, so no pairs of records are formed.
     """
     content = F.md5(F.regexp_replace(F.lower(F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), " ")), BLANK + "+", ""))
-    held = _records(spark, sf_dir).select(F.col("metadata.split").alias("split"), content.alias("content")).where("split is not null")
+    held = _records(spark, sf_dir).select(F.lower(F.trim(F.col("metadata.split"))).alias("split"), content.alias("content")).where("split is not null")
     splits = held.groupBy("content").agg(F.array_sort(F.collect_set("split")).alias("splits")).where("size(splits) > 1")
     a = splits.select("content", "splits", F.explode("splits").alias("split_a"))
     pairs = a.select("split_a", F.explode("splits").alias("split_b")).where("split_a < split_b")
     return pairs.groupBy("split_a", "split_b").agg(F.count("*").alias("shared"))
 
 
-@query("""SELECT metadata.split AS split, metadata.source_name AS source_name, count(*) AS records, count(DISTINCT metadata.sample_id) AS samples,
+@query("""SELECT lower(trim(metadata.split)) AS split, metadata.source_name AS source_name, count(*) AS records, count(DISTINCT metadata.sample_id) AS samples,
 count(DISTINCT CASE WHEN regexp_matches(lower(metadata.sample_id), 'ext-(\\d+)') THEN regexp_extract(lower(metadata.sample_id), 'ext-(\\d+)', 1) END) AS cases FROM chat_records GROUP BY ALL""")
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _records(spark, sf_dir).select("metadata.split", "metadata.source_name", "metadata.sample_id")
+    rows = _records(spark, sf_dir).select(F.lower(F.trim(F.col("metadata.split"))).alias("split"), "metadata.source_name", "metadata.sample_id")
     return rows.groupBy("split", "source_name").agg(F.count("*").alias("records"), F.countDistinct("sample_id").alias("samples"), F.countDistinct(case_label(F.col("sample_id"))).alias("cases"))
 
 
@@ -363,12 +363,19 @@ def documents_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.groupBy("content").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.countDistinct("source").alias("sources")).where("copies > 1")
 
 
-@query(r"""SELECT run_id, regexp_replace(run_id, '[^A-Za-z0-9_-]', '-', 'g') AS safe_name, CASE WHEN regexp_matches(lower(run_id), 'ext-(\d+)') THEN 'EXT-' || regexp_extract(lower(run_id), 'ext-(\d+)', 1) END AS case_id, count(*) AS claims FROM graph_claims GROUP BY ALL""")
+@query(r"""SELECT run_id, regexp_replace(run_id, '[^\p{L}\p{N}_-]', '-', 'g') AS safe_name, CASE WHEN regexp_matches(lower(run_id), 'ext-(\d+)') THEN 'EXT-' || regexp_extract(lower(run_id), 'ext-(\d+)', 1) END AS case_id, count(*) AS claims FROM graph_claims GROUP BY ALL""")
 def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "graph_claims").groupBy("run_id").agg(F.count("*").alias("claims"))
     return runs.select("run_id", safe_name(F.col("run_id")).alias("safe_name"), case_label(F.col("run_id")).alias("case_id"), "claims")
 
 
+@query(r"""SELECT record_id, 'x1--' || CASE WHEN trim(coalesce(metadata.sample_id, '')) <> '' THEN regexp_replace(metadata.sample_id, '[^\p{L}\p{N}_-]', '-', 'g') ELSE 'unlabeled-' || substr(sha256(record_id::VARCHAR || ':' || coalesce(messages[1].content, '')), 1, 12) END AS name FROM chat_records""")
+def record_run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of the run of each record in an experiment."""
+    record = F.concat_ws(":", F.col("record_id").cast("string"), F.coalesce(F.get("messages", F.lit(0))["content"], F.lit("")))
+    return _records(spark, sf_dir).select("record_id", run_name(F.lit("x1"), F.col("metadata.sample_id"), record).alias("name"))
+
+
 @query("""WITH step AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
 SELECT before, event_type, count(*) AS n FROM step WHERE before IS NOT NULL GROUP BY ALL""")
 def event_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
