@@ -44,6 +44,8 @@ BLOCK = 1 << 12
 BITS = 8
 #: Longs of the parity sketch.
 SKETCH = 4
+#: Candidate classes up to which their ids are broadcast; beyond that they meet the texts by an ordinary join.
+BROADCAST_ROWS = 500_000
 #: At most this part of the words of the longer text may differ.
 TOLERANCE = 0.1
 WORDS = re.compile(r"[\u3400-\u9fff]|[^\W_\u3400-\u9fff]+")
@@ -254,7 +256,9 @@ def near_classes(spark: SparkSession, hashed: DataFrame) -> DataFrame:
     pairs = cut(ours.join(theirs, "shingle").where(bounds & (F.col("id") != F.col("a_id"))).select("a_id", "id").distinct())
 
     ids = pairs.select(F.explode(F.array("a_id", "id")).alias("id")).distinct()
-    met = hashed.select(F.xxhash64("class").alias("id"), "class", "train", "words").join(ids, "id", "left_semi")
+    # 8 bytes a row: sent to all tasks if they are few, so that the words of all other texts stay where they are
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = hashed.select(F.xxhash64("class").alias("id"), "class", "train", "words").join(F.broadcast(ids) if few else ids, "id", "left_semi")
     texts = met.groupBy("id", "class", "train").agg(F.any_value("words").alias("words"))
     a = texts.where("train").select(F.col("id").alias("a_id"), F.col("class").alias("train_class"), F.col("words").alias("a"))
     b = texts.where("not train").select("id", F.col("class").alias("other_class"), F.col("words").alias("b"))
