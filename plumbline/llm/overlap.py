@@ -43,7 +43,7 @@ BLOCK = 1 << 12
 #: Bits of the bitmap of evaluation shingles for each counter.
 BITS = 8
 #: Longs of the parity sketch.
-SKETCH = 4
+SKETCH = 3
 #: Candidate classes up to which their ids are broadcast; beyond that they meet the texts by an ordinary join.
 BROADCAST_ROWS = 500_000
 #: At most this part of the words of the longer text may differ.
