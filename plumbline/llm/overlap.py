@@ -132,7 +132,7 @@ def _counted(size: int):
         counts = np.zeros(size, dtype=np.int32)
         for batch in batches:
             if len(batch):
-                np.add.at(counts, np.concatenate([shingles(w) for w in batch["words"]]) & (size - 1), 1)
+                np.add.at(counts, np.concatenate([shingles(w) for w in batch["words"]]) & (size - 1), np.int32(1))
         for start in range(0, size, BLOCK):
             part = counts[start : start + BLOCK]
             at = np.flatnonzero(part)
