@@ -67,8 +67,9 @@ def sketch(words: np.ndarray, longs: int, salt: int) -> np.ndarray:
 
 SKETCHES = [*(f"s{i}" for i in range(SKETCH)), *(f"e{i}" for i in range(LONG_SKETCH))]
 HASHES = T.StructType(
-    [T.StructField("class", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("words", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in SKETCHES)]
+    [T.StructField("class", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("words", T.BinaryType())]
 )
+SKETCHED = T.StructType([T.StructField(c, T.LongType()) for c in SKETCHES])
 
 
 class _WordHashes(dict):
@@ -81,8 +82,7 @@ class _WordHashes(dict):
 def text_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     known = _WordHashes()
     for texts in batches:
-        classes, sizes, words, sketches = [], [], [], []
-        none = np.zeros(LONG_SKETCH, dtype=np.int64)
+        classes, sizes, words = [], [], []
         for text in texts:
             found = WORDS.findall(text.casefold() if text.isascii() else unify(text)[0]) if text else []
             if len(known) > KEPT:
@@ -91,13 +91,21 @@ def text_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             classes.append(hashlib.md5(" ".join(found).encode("utf-8", "replace")).digest())
             sizes.append(len(found))
             words.append(array.tobytes())
-            sketches.append(np.concatenate([sketch(array, SKETCH, 0x9E3779B1), sketch(array, LONG_SKETCH, 0x85EBCA77) if len(found) >= LONG else none]))
-        columns = np.array(sketches, dtype=np.int64).reshape(-1, len(SKETCHES))
-        yield pd.DataFrame({"class": classes, "n": np.array(sizes, dtype=np.int32), "words": words, **{c: columns[:, i] for i, c in enumerate(SKETCHES)}})
+        yield pd.DataFrame({"class": classes, "n": np.array(sizes, dtype=np.int32), "words": words})
+
+
+@F.pandas_udf(SKETCHED)
+def text_sketches(words: pd.Series) -> pd.DataFrame:
+    """The parity sketches of texts given by the hashes of their words."""
+    none, rows = np.zeros(LONG_SKETCH, dtype=np.int64), []
+    for w in words:
+        array = np.frombuffer(w, dtype=np.int32)
+        rows.append(np.concatenate([sketch(array, SKETCH, 0x9E3779B1), sketch(array, LONG_SKETCH, 0x85EBCA77) if len(array) >= LONG else none]))
+    return pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, len(SKETCHES)), columns=SKETCHES)
 
 
 def hashed_records(records: DataFrame) -> DataFrame:
-    """(record_id, split, source_name, train, class, n, words, s0.., e0..): the class is the hash of all words, ``words``
+    """(record_id, split, source_name, train, class, n, words): the class is the hash of all words, ``words``
     holds their 32-bit hashes in order."""
     split = F.lower(F.trim(F.col("metadata.split")))
     rows = records.where(split.isin("train", "validation", "test")).select(F.col("record_id").cast("bigint").alias("record_id"), split.alias("split"), F.col("metadata.source_name").alias("source_name"), text_hashes(counted_text(F.col("messages"))).alias("h"))
@@ -244,7 +252,7 @@ def near_classes(spark: SparkSession, hashed: DataFrame) -> DataFrame:
 
     def prefixes(rows: DataFrame, words: Column) -> DataFrame:
         """One row (id, n, sketches, shingles) a class, copies gone."""
-        return rows.withColumn("shingles", words).groupBy("class").agg(F.any_value(F.struct(*held)).alias("h")).select(F.xxhash64("class").alias("id"), "h.*")
+        return rows.select("class", "n", words.alias("shingles"), text_sketches("words").alias("k")).select("class", "n", "shingles", "k.*").groupBy("class").agg(F.any_value(F.struct(*held)).alias("h")).select(F.xxhash64("class").alias("id"), "h.*")
 
     theirs = cut(prefixes(hashed.where("not train"), rare_shingles(spark, F.col("words"), levels)))
     ours = prefixes(hashed.where("train"), rare_shingles(spark, F.col("words"), levels, shingle_bitmap(theirs, BITS * size)))
