@@ -97,7 +97,7 @@ def test_queries_against_sql(spark, tmp_path):
     with duckdb.connect() as sql:
         for name in ("documents", "graph_claims"):
             sql.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
-        for query in (r.retrieval_topk_leave_one_out, r.retrieval_summary, r.retrieval_tier_modes):
+        for query in (r.retrieval_topk_leave_one_out, r.retrieval_summary, r.retrieval_tier_modes, r.retrieval_tier_summary):
             got = query(spark, str(tmp_path))
             want = sql.execute(ORACLES[query.__name__])
             names = [d[0] for d in want.description]
