@@ -3,10 +3,11 @@
 Records are canonicalised (user and assistant words only, character forms, letter case, blanks and punctuation left
 out; Chinese counts by characters) and hashed. Evaluation hashes are joined with training hashes; records with equal
 hashes form one class, so copies cost nothing further. Between classes with different hashes an exact prefix filter
-finds every pair of texts that differ in at most a tenth of their words: of n words at most d can differ, each touches
-three triples of neighbouring words, so two such texts share one of their 3d+1 rarest triples. Rarity comes from hashed
+finds every pair of texts that differ in at most a tenth of their words: of n words at most d can differ, and a word that
+is replaced, added or left out breaks at most one of several triples of neighbouring words that have no word in common, so of
+d+1 such triples of the evaluation text one stands unbroken in the training text. The rarest are taken. Rarity comes from hashed
 counters over the whole table, as many as the corpus asks for; any order is right, a good one keeps candidate lists short.
-Training triples are joined only where a bitmap says that an evaluation text may hold them, and a joined pair
+Of the training texts all triples count, but only those are joined that a bitmap says may be asked for, and a joined pair
 must pass two exact bounds inside the join (length, and the parities of hashed word counts, of which a changed word
 flips two) before it leaves it. What is left is verified by word-wise edit distance.
 
@@ -113,15 +114,20 @@ def hashed_records(records: DataFrame) -> DataFrame:
     return rows.select("record_id", "split", "source_name", (F.col("split") == "train").alias("train"), "h.*")
 
 
-def shingles(words: bytes) -> np.ndarray:
-    """The distinct 32-bit hashes of the runs of SHINGLE words."""
+def placed_shingles(words: bytes) -> np.ndarray:
+    """The 32-bit hashes of the runs of SHINGLE words, in their order."""
     w = np.frombuffer(words, dtype=np.int32).astype(np.int64)
     mixed = np.zeros(max(0, len(w) - SHINGLE + 1), dtype=np.int64)
     with np.errstate(over="ignore"):
         for i in range(SHINGLE):
             mixed = (mixed + w[i : i + len(mixed)]) * 0x1E3779B97F4A7C15
             mixed ^= mixed >> 29
-    return np.unique((mixed >> 16).astype(np.int32))
+    return (mixed >> 16).astype(np.int32)
+
+
+def shingles(words: bytes) -> np.ndarray:
+    """The distinct hashes of placed_shingles()."""
+    return np.unique(placed_shingles(words))
 
 
 def most_edits(length: int) -> int:
@@ -181,30 +187,58 @@ def shingle_bitmap(prefixes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def rare_shingles(spark: SparkSession, words: Column, levels: np.ndarray, bitmap: np.ndarray | None = None) -> Column:
-    """The rarest shingles of each text, as many as most_edits() changed words can touch and one more; of these, given
-    a bitmap, those that it holds. None where nothing may differ. Texts shorter than that have all their shingles."""
-    shared = spark.sparkContext.broadcast((levels, bitmap))
+def apart(order: list[int], most: int) -> list[int]:
+    """The first ``most`` places of ``order`` whose shingles have no word in common with those of earlier ones."""
+    taken, out = bytearray(len(order) + 2 * SHINGLE), []
+    for place in order:
+        if not taken[place + SHINGLE]:
+            taken[place + 1 : place + 2 * SHINGLE] = b"\1" * (2 * SHINGLE - 1)
+            out.append(place)
+            if len(out) == most:
+                break
+    return out
+
+
+def rare_shingles(spark: SparkSession, words: Column, levels: np.ndarray) -> Column:
+    """Of each text one shingle more than words may differ, no two with a word in common, the rarest first; none where nothing
+    may differ. Taking one forbids at most four others, so a text of n words, n > 8, always has the n / 9 + 1 of them."""
+    shared = spark.sparkContext.broadcast(levels)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def rarest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        levels, bitmap = shared.value
+        levels = shared.value
         for lists in batches:
             out = []
             for w in lists:
                 d = most_edits(len(w) // 4)
-                own = shingles(w) if d else np.empty(0, np.int32)
+                own = placed_shingles(w) if d else np.empty(0, np.int32)
                 if len(own):
-                    own = own[np.argsort(levels[own & (len(levels) - 1)].astype(np.int64) << 32 | own.view(np.uint32))[: SHINGLE * d + 1]]
-                    if bitmap is not None:
-                        b = own & (64 * len(bitmap) - 1)
-                        own = own[bitmap[b >> 6] >> (b & 63) & 1 == 1]
+                    order = np.argsort(levels[own & (len(levels) - 1)].astype(np.int64) << 32 | own.view(np.uint32), kind="stable")
+                    own = np.unique(own[apart(order.tolist(), d + 1)])
                 out.append(own)
             yield pd.Series(out, index=lists.index)
 
     return rarest(words)
 
 
+def held_shingles(spark: SparkSession, words: Column, bitmap: np.ndarray) -> Column:
+    """All shingles of each text that the bitmap holds; none where nothing may differ."""
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bitmap = shared.value
+        for lists in batches:
+            out = []
+            for w in lists:
+                own = placed_shingles(w) if most_edits(len(w) // 4) else np.empty(0, np.int32)
+                bit = own & (64 * len(bitmap) - 1)
+                out.append(np.unique(own[bitmap[bit >> 6] >> (bit & 63) & 1 == 1]))
+            yield pd.Series(out, index=lists.index)
+
+    return held(words)
+
+
 def few_edits(a: list[int], b: list[int], most: int) -> bool:
     """Whether at most ``most`` words must be replaced, added or left out to turn ``a`` into ``b``."""
     if abs(len(a) - len(b)) > most:
@@ -255,7 +289,7 @@ def near_classes(spark: SparkSession, hashed: DataFrame) -> DataFrame:
         return rows.select("class", "n", words.alias("shingles"), text_sketches("words").alias("k")).select("class", "n", "shingles", "k.*").groupBy("class").agg(F.any_value(F.struct(*held)).alias("h")).select(F.xxhash64("class").alias("id"), "h.*")
 
     theirs = cut(prefixes(hashed.where("not train"), rare_shingles(spark, F.col("words"), levels)))
-    ours = prefixes(hashed.where("train"), rare_shingles(spark, F.col("words"), levels, shingle_bitmap(theirs, BITS * size)))
+    ours = prefixes(hashed.where("train"), held_shingles(spark, F.col("words"), shingle_bitmap(theirs, BITS * size)))
     theirs = theirs.select("id", "n", *SKETCHES, F.explode("shingles").alias("shingle"))
     ours = ours.select(*(F.col(c).alias(f"a_{c}") for c in ("id", "n", *SKETCHES)), F.explode("shingles").alias("shingle"))
     longer, shorter = F.greatest("n", "a_n"), F.least("n", "a_n")
