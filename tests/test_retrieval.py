@@ -55,6 +55,21 @@ def test_kernel_against_loops(monkeypatch, apart, block):
         assert scores_only(rows) == scores_only(by_loops(queries, entries, 4, apart))
 
 
+def test_equal_entries_are_scored_once(monkeypatch):
+    """However many entries hold the same tokens, one of them is counted; groups are left out nevertheless."""
+    rng = random.Random(7)
+    kinds = [["a", "b"], ["b"], ["a", "a", "c"], ["c", "b", "a"]]
+    entries = [(i, "x", rng.choice(["g", "g", "g", "h", None]), rng.sample(kinds[i % 4], len(kinds[i % 4]))) for i in range(600)]
+    queries = [(1, None, "g", ["a", "b"]), (2, None, "h", ["a", "a"]), (3, None, "g", ["c"]), (3, None, None, ["b"]), (4, None, "i", ["a", "b", "c"])]
+    laid = bo._Queries(table(queries, "query"))
+    coded = list(bo._coded(SimpleNamespace(value=laid.vocabulary))(table(entries, "entry").to_batches()))
+    counted, levels = [], bo._levels
+    monkeypatch.setattr(bo, "_levels", lambda item, *rest: counted.append(len(set(item.tolist()))) or levels(item, *rest))
+    rows = [tuple(r.values()) for b in bo._scored(SimpleNamespace(value=laid.sent), 10, False)(coded) for r in b.to_pylist()]
+    assert sorted(rows, key=str) == by_loops(queries, entries, 10, False)
+    assert counted == [len(kinds)]
+
+
 def test_first_best():
     rng = np.random.default_rng(1)
     for most in (1, 3, 1000):
@@ -80,6 +95,14 @@ def test_best_overlaps(spark, monkeypatch):
     assert bo.best_overlaps(frame(queries, "query"), frame(entries, "entry").limit(0)).count() == 0
 
 
+def test_lexical_tokens(spark):
+    from plumbline.functions.text import lexical_tokens
+
+    texts = {"泵轴承 B12泵\u3000轴": ["泵轴", "轴承", "泵轴", "b12"], "泵": [], "泵A轴承承": ["轴承", "承承", "a"], "": [], "A b": ["ab"], None: None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", lexical_tokens("t").alias("tokens")).collect()
+    assert {r.t: r.tokens for r in rows} == texts
+
+
 def test_queries_against_sql(spark, tmp_path):
     """Ids that stand for several documents and claims, in several sources and cases, as in SQL."""
     duckdb = pytest.importorskip("duckdb")
