@@ -15,6 +15,8 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,6 +113,8 @@ _FILLER = re.compile(
     r"sorry|apolog|dispiace|desculp|helaas|spijt|unfortunately|regret|as an assistant|as an ai|thanks for|thank you|please contact|try another|something else|qualified|entschuldig|leider|tut mir leid|bitte wenden|fachperson|fachmann|andere frage|désolé|malheureusement|veuillez|"
     r"spécialiste|autre question|lo siento|lamentablemente|disculp|consulte|especialista|otra pregunta|抱歉|对不起|作为助手|请咨询|请换|专业人员|换一个|к сожалению|извините|обратитесь|другой вопрос"
 )
+#: Matches whatever REFUSING or DECLINED does and perhaps more, for the linear matcher of whole batches, where \w is ASCII.
+_MAY_REFUSE = f"{REFUSING.pattern}|{DECLINED.pattern}".replace(r"\w", r"\S").replace(r"\b", "")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
 
 
@@ -127,6 +131,11 @@ def is_refusal(answer: str) -> bool:
     return refused
 
 
+def may_refuse(answers: list[str]) -> list[bool]:
+    """False for each of ``answers`` (unified) in which no sentence can refuse."""
+    return pc.match_substring_regex(pa.array(answers, pa.large_string()), pattern=_MAY_REFUSE).to_pylist()
+
+
 def _counts(text: str) -> dict[str, int]:
     """How many letters of each telling script and how many function words of each language a text (unified) holds."""
     counts = dict.fromkeys((*SCRIPTS, *SPELT), 0)
@@ -171,8 +180,17 @@ _LEAD_IN = re.compile(r"[^.!?。！？:：\n]*[:：]")
 _OWN_WORDS = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 
 
+#: The ASCII characters that are no letter and no digit, as blanks.
+_SPACED = {i: " " for i in range(128) if not chr(i).isalnum()}
+
+
+def _kept(text: str) -> list[str]:
+    """The runs of letters and digits."""
+    return text.translate(_SPACED).split() if text.isascii() else _KEPT.findall(text)
+
+
 def _squeezed(text: str) -> str:
-    return "".join(_KEPT.findall(text))
+    return "".join(_kept(text))
 
 
 def _questions(user: str) -> list[str]:
@@ -212,11 +230,14 @@ def novel_size(answer: str, prompt: str) -> int:
 
 def spoken_defect(user: str | None, answer: str) -> str | None:
     """refusal, copy or language, or None."""
-    a = unify_lines(answer)
-    if is_refusal(a):
+    return _spoken(unify_lines(user or ""), unify_lines(answer), True)
+
+
+def _spoken(u: str, a: str, refusing: bool) -> str | None:
+    """The defect of unified texts; without ``refusing`` no sentence of the answer refuses."""
+    if refusing and is_refusal(a):
         return "refusal"
-    u = unify_lines(user or "")
-    words, prompt = " ".join(_KEPT.findall(a)), " ".join(_KEPT.findall(u))
+    words, prompt = " ".join(_kept(a)), " ".join(_kept(u))
     if prompt and words and novel_size(words, prompt) <= NOVEL_BYTES + NOVEL_SHARE * len(words) and gives_back(a, u):
         return "copy"
     spoken = prose_language(a)
@@ -229,11 +250,10 @@ def unify_lines(text: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def spoken_defects(users: pd.Series, answers: pd.Series) -> pd.Series:
-    looked: dict[tuple, str | None] = {}
-    for pair in zip(users, answers):
-        if pair not in looked:
-            looked[pair] = None if pair[1] is None else spoken_defect(*pair)
-    return pd.Series([looked[pair] for pair in zip(users, answers)], index=users.index, dtype=object)
+    given = dict.fromkeys(pair for pair in zip(users, answers) if pair[1] is not None)
+    unified = [(unify_lines(user or ""), unify_lines(answer)) for user, answer in given]
+    looked = dict(zip(given, (_spoken(*texts, refusing) for texts, refusing in zip(unified, may_refuse([a for _, a in unified])))))
+    return pd.Series([looked.get(pair) for pair in zip(users, answers)], index=users.index, dtype=object)
 
 
 def message_pairs(records: DataFrame, *kept: Column) -> DataFrame:
@@ -246,7 +266,10 @@ def is_placeholder(answer: Column) -> Column:
     """Whether an answer is missing, blank or a placeholder; an empty JSON list or object is an answer."""
     sign = r"[\s\p{P}\p{S}\p{Cf}\p{Z}]"
     bare = F.lower(F.regexp_replace(F.regexp_replace(answer, f"^{sign}+", ""), f"{sign}+$", ""))
-    return answer.isNull() | (bare.isin(*PLACEHOLDERS) | answer.rlike(f"^{sign}*$")) & ~answer.rlike(r"^\s*(?:\[\s*\]|\{\s*\})\s*$")
+    exact = (bare.isin(*PLACEHOLDERS) | answer.rlike(f"^{sign}*$")) & ~answer.rlike(r"^\s*(?:\[\s*\]|\{\s*\})\s*$")
+    # one look at the beginning spares the exact look at whole answers: what stands between signs is as short as a placeholder
+    short = answer.rlike(f"^{sign}*+[\\s\\S]{{0,{max(map(len, PLACEHOLDERS))}}}{sign}*$")
+    return answer.isNull() | F.when(short, exact).otherwise(False)
 
 
 def open_json(answer: Column) -> Column:

@@ -175,7 +175,7 @@ class ClosingModel:
         own = frame.columns
         if self.intercept is None:
             return frame.withColumn(name, F.lit(0.0))
-        blank = F.coalesce(F.trim(F.regexp_replace(F.col(text), r"[\s\x{a0}\x{200b}\x{feff}]+", "")), F.lit("")) == ""
+        blank = F.coalesce(~F.col(text).rlike(r"[^\s\x{a0}\x{200b}\x{feff}]"), F.lit(True))
         weights = F.from_json(F.lit(json.dumps(self.weights)), "array<double>")
         # terms of a multiple of four bytes have the same place here as in HashingTF
         places = F.array_distinct(F.transform("_features", lambda term: F.pmod(F.hash(term), F.lit(FEATURES))))

@@ -13,6 +13,25 @@ def test_no_refusals(text):
     assert not d.is_refusal(d.unify_lines(text))
 
 
+def test_only_what_may_refuse_is_looked_at(monkeypatch):
+    """The batch's matcher spares the exact look at plain answers and loses no refusal."""
+    refusing = ["I can't help with that request.", "К сожалению, я не могу вам помочь.", "Das möchte ich hier leider nicht kommentieren.", "我拒绝。", "Não posso ajudar."]
+    plain = ["The pump tripped at 12:10 and was not restarted.", "Das Lager wurde nicht geprüft.", "", "现有证据不足以确认根因。"]
+    looked, exact = [], d.is_refusal
+    monkeypatch.setattr(d, "is_refusal", lambda a: looked.append(a) or exact(a))
+    answers = d.pd.Series([*refusing, *plain, None, *refusing], dtype=object)
+    got = d.spoken_defects.func(d.pd.Series(["Why?"] * len(answers), dtype=object), answers).tolist()
+    assert [x == "refusal" for x in got] == [True] * 5 + [False] * 5 + [True] * 5 and got[9] is None
+    assert looked == [d.unify_lines(a) for a in refusing]
+
+
+def test_placeholders(spark):
+    """The look at the beginning comes first, and what it lets through is judged as a whole."""
+    texts = {None: True, "": True, " \u200b…": True, "N/A": True, "( No Answer ). ": True, "." * 5000 + "placeholder" + "!" * 5000: True, "暂无。": True, "[]": False, " { } ": False, "placeholders": False, "none so": False, "n" * 5000: False, ". " * 5000 + "no answer was given": False}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", d.is_placeholder(d.F.col("t")).alias("empty"))
+    assert {r.t: r.empty for r in rows.collect()} == texts
+
+
 USER = "Why did a runback follow at Ostrum? Keep the answer short.\nEvidence:\n[ev-1] The spare pump was delivered and fitted in the morning round.\n[ev-2] No wear was seen on the coupling."
 
 
